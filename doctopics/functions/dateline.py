@@ -119,6 +119,14 @@ def country_pattern(name: str) -> str:
     return f"(?iu){_edge(name[0], 'start')}{re.escape(name)}{_edge(name[-1], 'end')}"
 
 
+def any_country_pattern(names: list[str]) -> str:
+    """True exactly where one of the country patterns is; names with plain edges share their boundaries."""
+    plain = [n for n in names if re.match(r"\w", n[0]) and re.match(r"\w", n[-1])]
+    other = [country_pattern(n) for n in names if n not in plain]
+    shared = f"(?iu){WORD_START}(?:{'|'.join(map(re.escape, plain))}){WORD_END}"
+    return "|".join([shared] * bool(plain) + other)
+
+
 def move_country(
     df: DataFrame,
     source_col: str = "source",
@@ -131,14 +139,13 @@ def move_country(
     tried in order, each behind a cheap substring test.
     """
     source, location = F.col(source_col), F.col(location_col)
-    any_country = "|".join(country_pattern(n) for n in countries)
     listed = F.array(
         *[F.struct(F.lit(n.lower()).alias("name"), F.lit(country_pattern(n)).alias("pattern")) for n in countries]
     )
     hits = F.filter(
         listed, lambda x: F.lower(source).contains(x["name"]) & F.rlike(source, x["pattern"])
     )
-    pattern = F.when(source.rlike(any_country), F.get(hits, 0)["pattern"])
+    pattern = F.when(source.rlike(any_country_pattern(countries)), F.get(hits, 0)["pattern"])
     found = F.regexp_substr(source, F.col("_pattern"))
     rest = F.when(
         F.col("_pattern").isNotNull(), strip_ws(F.regexp_replace(source, F.col("_pattern"), F.lit("")))
