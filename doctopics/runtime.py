@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Sequence
+from multiprocessing.pool import ThreadPool
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
+
 # A side is broadcast only when its row count is known not to exceed this.
 MAX_BROADCAST_ROWS = 200_000
 # Inputs below this size per core are spread over all cores before CPU-heavy text work.
@@ -68,3 +74,11 @@ def spread(df: DataFrame) -> DataFrame:
     if plan_bytes(df) < cores * SPREAD_BYTES_PER_CORE:
         return df.repartition(cores)
     return df
+
+
+def run_parallel(tasks: Sequence[Callable[[], T]], parallelism: int = 4) -> list[T]:
+    """Submit independent Spark jobs (model fits of a grid) from a few driver threads, results in order."""
+    if parallelism <= 1 or len(tasks) <= 1:
+        return [t() for t in tasks]
+    with ThreadPool(min(parallelism, len(tasks))) as pool:
+        return pool.map(inheritable_thread_target(lambda t: t()), tasks, chunksize=1)
