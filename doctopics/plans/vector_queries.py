@@ -1 +1,164 @@
-"""Registered queries."""
+"""Embeddings, centroids, nearest topics, number of clusters and density clustering."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from doctopics.operators import density
+from doctopics.operators import embeddings as emb
+from doctopics.plans.base import r6, register, table, tokens
+
+# cent: unit-length mean vector per label; scored: cosine of every vector with every centroid
+CENT = """pos AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+  means AS (SELECT label, i, avg(CAST(x AS DOUBLE)) AS m FROM pos GROUP BY label, i),
+  lens AS (SELECT label, sqrt(sum(m * m)) AS len FROM means GROUP BY label),
+  cent AS (SELECT m.label AS topic, list(m / len ORDER BY i) AS vec FROM means m JOIN lens USING (label) GROUP BY m.label),
+  scored AS (SELECT vec_id, label, topic, list_cosine_similarity(CAST(embedding AS DOUBLE[]), vec) AS score
+    FROM embeddings CROSS JOIN cent),
+  best AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, topic) AS rn FROM scored)"""
+
+
+def vectors(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").withColumnRenamed("label", "topic")
+
+
+@register(
+    "topic_centroids",
+    f"""WITH {CENT} SELECT m.label AS topic, CAST(i AS INT) AS pos, round(m / len, 6) + 0.0 AS x
+    FROM means m JOIN lens USING (label)""",
+)
+def topic_centroids(spark, sf_dir):
+    cent = emb.topic_centroids(vectors(spark, sf_dir))
+    long = cent.select("topic", F.posexplode("vector").alias("pos", "x"))
+    return long.select("topic", (F.col("pos") + 1).alias("pos"), r6("x", "x"))
+
+
+@register(
+    "assign_to_nearest_topic",
+    f"WITH {CENT} SELECT vec_id, topic, round(score, 6) AS score FROM best WHERE rn = 1",
+)
+def assign_to_nearest_topic(spark, sf_dir):
+    df = vectors(spark, sf_dir)
+    out = emb.assign_to_nearest_topic(df.drop("topic"), emb.topic_centroids(df))
+    return out.select("vec_id", "topic", r6("score", "score"))
+
+
+INVERSE = """inv AS (SELECT vec_id, label, topic, 1 / greatest(list_distance(CAST(embedding AS DOUBLE[]), vec), 1e-12) AS w
+    FROM embeddings CROSS JOIN cent),
+  probs AS (SELECT vec_id, label, topic, w / sum(w) OVER (PARTITION BY vec_id) AS p FROM inv)"""
+
+
+@register(
+    "topic_probabilities",
+    f"WITH {CENT}, {INVERSE} SELECT vec_id, topic, round(p, 6) AS p FROM probs",
+)
+def topic_probabilities(spark, sf_dir):
+    df = vectors(spark, sf_dir)
+    out = emb.topic_probabilities(df.drop("topic"), emb.topic_centroids(df))
+    return out.select("vec_id", F.posexplode("probabilities").alias("topic", "p")).select("vec_id", "topic", r6("p", "p"))
+
+
+def _with_outliers(df):
+    """Every seventh vector loses its topic."""
+    return df.withColumn("topic", F.when(F.col("vec_id") % 7 == 0, -1).otherwise(F.col("topic")))
+
+
+@register(
+    "assign_outliers",
+    f"""WITH {CENT}, {INVERSE}, b AS (SELECT vec_id, arg_max(topic, p) AS best FROM probs GROUP BY vec_id)
+    SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN best ELSE label END AS topic FROM embeddings JOIN b USING (vec_id)""",
+)
+def assign_outliers(spark, sf_dir):
+    df = vectors(spark, sf_dir)
+    cent = emb.topic_centroids(df)
+    topics = [r["topic"] for r in cent.select("topic").orderBy("topic").collect()]
+    out = emb.assign_outliers(emb.topic_probabilities(_with_outliers(df), cent), topics)
+    return out.select("vec_id", "topic")
+
+
+@register(
+    "topic_nearest_words",
+    f"""WITH {CENT}, r AS (SELECT topic, vec_id, score,
+        row_number() OVER (PARTITION BY topic ORDER BY score DESC, concat('w', CAST(vec_id AS VARCHAR))) AS rank FROM scored)
+    SELECT topic, CAST(rank AS INT) AS rank, concat('w', CAST(vec_id AS VARCHAR)) AS term, round(score, 6) AS score
+    FROM r WHERE rank <= 10""",
+)
+def topic_nearest_words(spark, sf_dir):
+    df = vectors(spark, sf_dir)
+    words = df.select(F.concat(F.lit("w"), F.col("vec_id")).alias("term"), F.col("embedding").alias("vector"))
+    return emb.topic_nearest_words(words, emb.topic_centroids(df)).select("topic", "rank", "term", r6("score", "score"))
+
+
+@register("hierarchical_reduction")
+def hierarchical_reduction(spark, sf_dir):
+    return emb.hierarchical_reduction(emb.topic_centroids(vectors(spark, sf_dir)), 4)
+
+
+@register(
+    "map_reduced_topics",
+    "SELECT vec_id, CASE WHEN label < 8 THEN label % 4 ELSE -1 END AS topic FROM embeddings",
+)
+def map_reduced_topics(spark, sf_dir):
+    df = vectors(spark, sf_dir)
+    # Topics 8 and 9 have no entry.
+    lookup = df.select("topic").distinct().filter("topic < 8").selectExpr("topic AS orig_topic", "topic % 4 AS reduced_topic")
+    return emb.map_reduced_topics(df, lookup).select("vec_id", "topic")
+
+
+@register(
+    "assignment_quality",
+    f"""WITH {CENT}, q AS (SELECT CASE WHEN vec_id % 7 = 0 THEN -1 ELSE topic END AS topic, score FROM best WHERE rn = 1)
+    SELECT count(*) AS documents, count(*) FILTER (topic <> -1) AS assigned,
+        round(avg(score) FILTER (topic <> -1), 6) AS mean_score, round(median(score) FILTER (topic <> -1), 6) AS median_score
+    FROM q""",
+)
+def assignment_quality(spark, sf_dir):
+    df = vectors(spark, sf_dir)
+    assigned = _with_outliers(emb.assign_to_nearest_topic(df.drop("topic"), emb.topic_centroids(df)))
+    out = emb.assignment_quality(assigned)
+    return out.select("documents", "assigned", r6("mean_score", "mean_score"), r6("median_score", "median_score"))
+
+
+CURVE = """SELECT label + 2 AS k, sum(CAST(embedding[1] AS DOUBLE) * embedding[1]) AS sse, avg(CAST(embedding[2] AS DOUBLE)) AS silhouette
+    FROM embeddings GROUP BY label"""
+
+
+@register(
+    "elbow_point",
+    f"""WITH curve AS ({CURVE}), b AS (SELECT *, sse - 2 * lag(sse, 1) OVER (ORDER BY k) + lag(sse, 2) OVER (ORDER BY k) AS bend FROM curve)
+    SELECT (SELECT k FROM b WHERE bend IS NOT NULL ORDER BY bend DESC, k LIMIT 1) AS elbow_k,
+        (SELECT k FROM b ORDER BY silhouette DESC, k LIMIT 1) AS best_silhouette_k""",
+)
+def elbow_point(spark, sf_dir):
+    x, y = F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")
+    curve = (
+        table(spark, sf_dir, "embeddings")
+        .groupBy((F.col("label") + 2).alias("k"))
+        .agg(F.sum(x * x).alias("sse"), F.avg(y).alias("silhouette"))
+    )
+    return emb.elbow_point(curve)
+
+
+@register("kmeans_elbow")
+def kmeans_elbow(spark, sf_dir):
+    return emb.kmeans_elbow(table(spark, sf_dir, "embeddings"))
+
+
+@register("embed_documents")
+def embed_documents(spark, sf_dir):
+    docs, _ = emb.embed_word2vec(tokens(spark, sf_dir), size=32)
+    return docs.select("doc_id", F.posexplode("embedding").alias("pos", "x"))
+
+
+def _reduced(spark, sf_dir):
+    return emb.reduce_dims(table(spark, sf_dir, "embeddings"))
+
+
+@register("reduce_dims")
+def reduce_dims(spark, sf_dir):
+    return _reduced(spark, sf_dir).select("vec_id", F.posexplode("reduced").alias("pos", "x"))
+
+
+@register("density_cluster")
+def density_cluster(spark, sf_dir):
+    return density.density_cluster(_reduced(spark, sf_dir)).select("vec_id", "label", "topic")
