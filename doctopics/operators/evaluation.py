@@ -21,7 +21,7 @@ from doctopics.constants import (
     SUCCESS_BANDS,
     SUCCESS_BANDS_REST,
 )
-from doctopics.runtime import counted_broadcast
+from doctopics.runtime import counted_broadcast, one_row
 
 OUTLIER = -1
 
@@ -110,15 +110,10 @@ def aligned_accuracy(counts: DataFrame, alignment: DataFrame, by: Sequence[str]
     by = list(by)
     total = counts.groupBy(*by).agg(F.sum("n").alias("total"))
     matched = alignment.groupBy(*by).agg(F.sum("n").alias("matched"))
-    joined = total.join(F.broadcast(matched), by) if by else _side_by_side(total, matched)
+    joined = total.join(F.broadcast(matched), by) if by else one_row(total, matched)
     return joined.select(*by, "matched", "total", (F.col("matched") / F.col("total")).alias("Aligned_Accuracy"))
 
 
-def _side_by_side(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Two one-row tables as one row."""
-    return a.withColumn("_k", F.lit(1)).join(F.broadcast(b.withColumn("_k", F.lit(1))), "_k").drop("_k")
-
-
 def alignment_table(alignment: DataFrame, names: dict[int, str]) -> DataFrame:
     """Alignment with the label's name."""
     pairs = F.create_map(*[F.lit(x) for item in names.items() for x in item])

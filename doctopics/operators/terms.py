@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from doctopics.runtime import broadcast_within
+from doctopics.runtime import broadcast_within, one_row
 
 
 def top_rows(df: DataFrame, n: int, order: list, by: list[str] | None = None, rank_col: str = "rank") -> DataFrame:
@@ -135,6 +135,19 @@ def long_form(df: DataFrame, id_col: str = "doc_id", vector_col: str = "features
     return parts.select(id_col, *keep, F.inline(cells))
 
 
+def nested_vectorizers(
+    stats: DataFrame, sizes: list[int], n_docs: int, tokens_col: str = "tokens"
+) -> dict[int, Vectorizer]:
+    """Vectorizers of several vocabulary sizes from one ranking: the smaller ones are prefixes of it."""
+    ranked = stats.orderBy(F.desc("tf"), "term").limit(max(sizes)).collect()
+    ranked.sort(key=lambda r: (-r["tf"], r["term"]))
+    out = {}
+    for n in sizes:
+        rows = sorted(ranked[:n], key=lambda r: r["term"])
+        out[n] = Vectorizer([r["term"] for r in rows], [r["df"] for r in rows], n_docs, tokens_col)
+    return out
+
+
 def bag_of_words(df: DataFrame, vectorizer: Vectorizer, id_col: str = "doc_id") -> DataFrame:
     bag = long_form(vectorizer.counts(df), id_col)
     return bag.select(id_col, "term_id", F.col("weight").cast("long").alias("cnt"))
@@ -203,10 +216,7 @@ def corpus_stats(df: DataFrame, tokens_col: str = "tokens", split_col: str = "sp
     mean = matrix_stats(fitted.counts(train), max(fitted.size, 1)).select(F.col("mean_nnz").alias("mean_distinct_terms"))
     before = stats.agg(F.count("*").alias("vocab_before"))
     after = F.lit(fitted.size).cast("long").alias("vocab_after")
-    one = sizes.withColumn("_k", F.lit(1))
-    for part in (before, mean):
-        one = one.join(F.broadcast(part.withColumn("_k", F.lit(1))), "_k")
-    return one.select("n_train", "n_test", "vocab_before", after, "mean_distinct_terms")
+    return one_row(sizes, before, mean).select("n_train", "n_test", "vocab_before", after, "mean_distinct_terms")
 
 
 def top_terms_by_df(stats: DataFrame, n: int = 10) -> DataFrame:

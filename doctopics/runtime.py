@@ -63,6 +63,14 @@ def counted_broadcast(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFra
     return broadcast_within(df, df.limit(limit + 1).count(), limit)
 
 
+def one_row(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """One-row tables side by side."""
+    out = first.withColumn("_one", F.lit(1))
+    for part in others:
+        out = out.join(F.broadcast(part.withColumn("_one", F.lit(1))), "_one")
+    return out.drop("_one")
+
+
 def plan_bytes(df: DataFrame) -> int:
     """Optimizer's size estimate of ``df``."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
