@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from doctopics.operators.describe import merge_smallest
 from doctopics.operators.terms import top_rows
-from doctopics.runtime import counted_broadcast, run_parallel
+from doctopics.runtime import counted_broadcast, run_parallel, sized
 from doctopics.sources.selection import cut_points
 
 OUTLIER = -1
@@ -137,7 +137,9 @@ def kmeans_elbow(
     parallelism: int = 8,
 ) -> DataFrame:
     """``(k, sse, silhouette)`` for k = 2..max_k, the best of several restarts each."""
-    points = df.select(array_to_vector(F.col(vector_col).cast("array<double>")).alias("features")).persist()
+    n, width = df.agg(F.count("*"), F.max(F.size(vector_col))).first()
+    points = df.select(array_to_vector(F.col(vector_col).cast("array<double>")).alias("features"))
+    points = sized(points, n, 8 * (width or 1)).persist()
     scorer = ClusteringEvaluator(featuresCol="features", predictionCol="prediction", distanceMeasure="squaredEuclidean")
 
     def fit(k: int, restart: int):

@@ -12,7 +12,6 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.mllib.linalg.distributed import RowMatrix
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from doctopics.operators.terms import Vectorizer, top_rows
+from doctopics.runtime import sized
 
 # Cells of a dense block of rows (16 MB).
 BLOCK_CELLS = 2_000_000
@@ -97,19 +97,31 @@ class Projection:
         return spark.createDataFrame(rows, "component int, term_id int, weight double")
 
 
+def _gram(df: DataFrame, vector_col: str) -> np.ndarray:
+    """X'X, summed over the executors; terms x terms is the model state of both projections."""
+    rows = MLUtils.convertVectorColumnsFromML(df.select(F.col(vector_col).alias("v")), "v")
+    return RowMatrix(rows).computeGramianMatrix().toArray()
+
+
+def _top_directions(matrix: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    values, vectors = np.linalg.eigh(matrix)
+    order = np.argsort(values)[::-1][:k]
+    return np.maximum(values[order], 0.0), _flip(vectors[:, order])
+
+
 def lsa_fit(df: DataFrame, k: int, vector_col: str = "features") -> Projection:
     """Truncated SVD without centring."""
-    rows = MLUtils.convertVectorColumnsFromML(df.select(F.col(vector_col).alias("v")), "v")
-    svd = RowMatrix(rows).computeSVD(k, computeU=False)
-    return Projection(_flip(svd.V.toArray()), svd.s.toArray())
+    values, directions = _top_directions(_gram(df, vector_col), k)
+    return Projection(directions, np.sqrt(values))
 
 
 def pca_fit(df: DataFrame, k: int = 4, vector_col: str = "features") -> Projection:
-    """Centred PCA; the terms x terms covariance is the largest state."""
-    model = PCA(k=k, inputCol=vector_col, outputCol="_p").fit(df)
-    mean = df.agg(Summarizer.mean(F.col(vector_col)).alias("m")).first()["m"].toArray()
-    directions = _flip(model.pc.toArray())
-    return Projection(directions, np.asarray(model.explainedVariance), mean @ directions)
+    """Centred PCA."""
+    mean, n = df.agg(Summarizer.mean(F.col(vector_col)), F.count("*")).first()
+    mean = mean.toArray()
+    covariance = (_gram(df, vector_col) - n * np.outer(mean, mean)) / max(n - 1, 1)
+    values, directions = _top_directions(covariance, k)
+    return Projection(directions, values, mean @ directions)
 
 
 def pca_topic_terms(loadings: DataFrame, vectorizer: Vectorizer, n: int = 10) -> DataFrame:
@@ -183,7 +195,8 @@ def nmf_fit(
     Each task sends k rows of partial sums of W'X and W'W, added up by topic.
     """
     indices, values = _sparse_parts(vector_col)
-    rows = df.select(indices.alias("indices"), values.alias("values")).persist()
+    rows = df.select(indices.alias("indices"), values.alias("values"))
+    rows = sized(rows, df.count(), 8 * n_terms).persist()
     square = F.aggregate("values", F.lit(0.0), lambda a, x: a + x * x)
     total = F.aggregate("values", F.lit(0.0), lambda a, x: a + x)
     norm, mean, n = rows.agg(F.sum(square), F.sum(total), F.count("*")).first()

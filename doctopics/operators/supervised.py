@@ -20,15 +20,18 @@ from doctopics.functions.tokens import ngrams_1_2
 from doctopics.operators.evaluation import classification_report
 from doctopics.operators.factor import lsa_fit, nmf_fit, pca_fit, pca_topic_terms, scores_as_vector
 from doctopics.operators.terms import Vectorizer, nested_vectorizers, term_stats
-from doctopics.runtime import run_parallel
+from doctopics.runtime import run_parallel, sized
 
 SEED = 42
+# Fixed value: convergence tolerance of both linear classifiers.
+TOLERANCE = 1e-4
 
 
 def clf_logreg(n_rows: int, max_iter: int = 1000) -> LogisticRegression:
     """Multinomial logistic regression; penalty 1/n equals C = 1 of a summed loss."""
     return LogisticRegression(
-        family="multinomial", maxIter=max_iter, regParam=1.0 / n_rows, standardization=False, labelCol="label_idx"
+        family="multinomial", maxIter=max_iter, tol=TOLERANCE, regParam=1.0 / n_rows, standardization=False,
+        labelCol="label_idx",
     )
 
 
@@ -39,7 +42,7 @@ def clf_random_forest(trees: int = 100, max_depth: int = 20) -> RandomForestClas
 
 def clf_linear_svc(n_rows: int, max_iter: int = 1000) -> OneVsRest:
     """Linear SVM, one class against the rest."""
-    svc = LinearSVC(maxIter=max_iter, regParam=1.0 / n_rows, standardization=False)
+    svc = LinearSVC(maxIter=max_iter, tol=TOLERANCE, regParam=1.0 / n_rows, standardization=False)
     return OneVsRest(classifier=svc, labelCol="label_idx", parallelism=4)
 
 
@@ -68,29 +71,34 @@ def with_label_index(df: DataFrame, label_col: str = "labels") -> tuple[DataFram
     return model.transform(df), list(model.labels)
 
 
-def score_classifiers(train: DataFrame, test: DataFrame, models: dict, parallelism: int = 4) -> list[tuple[str, float]]:
-    """Fit each classifier on the same persisted features; test accuracy by name."""
+def _score(model, train: DataFrame, test: DataFrame) -> float:
+    hit = F.when(F.col("prediction") == F.col("label_idx"), 1.0).otherwise(0.0)
+    return float(model.fit(train).transform(test).agg(F.avg(hit)).first()[0] or 0.0)
 
-    def one(name: str) -> tuple[str, float]:
-        fitted = models[name].fit(train)
-        hit = F.when(F.col("prediction") == F.col("label_idx"), 1.0).otherwise(0.0)
-        return name, float(fitted.transform(test).agg(F.avg(hit)).first()[0] or 0.0)
 
-    return run_parallel([lambda n=n: one(n) for n in models], parallelism)
+def _split(df: DataFrame, split_col: str, width: int) -> tuple[DataFrame, DataFrame, int]:
+    """Persisted train and test features and the number of training rows."""
+    parts = [df.filter(F.col(split_col) == s).select("features", "label_idx") for s in ("train", "test")]
+    counts = [p.count() for p in parts]
+    train, test = (sized(p, n, 8 * width).persist() for p, n in zip(parts, counts))
+    return train, test, counts[0]
 
 
-def _split(df: DataFrame, split_col: str) -> tuple[DataFrame, DataFrame]:
-    columns = ["features", "label_idx"]
-    return tuple(df.filter(F.col(split_col) == s).select(*columns).persist() for s in ("train", "test"))
-
-
-def _grid_row(df: DataFrame, split_col: str, bayes: str, parallelism: int) -> list[tuple[str, float]]:
-    train, test = _split(df, split_col)
-    n = train.count()
-    out = score_classifiers(train, test, classifiers(n, bayes), parallelism)
-    train.unpersist()
-    test.unpersist()
-    return out
+def accuracy_rows(
+    settings: Sequence[tuple[tuple, DataFrame, int]], split_col: str, bayes: str, parallelism: int
+) -> list[tuple]:
+    """Test accuracy of four classifiers per setting ``(key, features, width)``; all fits share one pool."""
+    parts = [_split(df, split_col, width) for _, df, width in settings]
+    tasks, keys = [], []
+    for (key, _, _), (train, test, n) in zip(settings, parts):
+        for name, model in classifiers(n, bayes).items():
+            keys.append((*key, name))
+            tasks.append(lambda m=model, a=train, b=test: _score(m, a, b))
+    scores = run_parallel(tasks, parallelism)
+    for train, test, _ in parts:
+        train.unpersist()
+        test.unpersist()
+    return [(*key, score) for key, score in zip(keys, scores)]
 
 
 def _fit_rows(df: DataFrame, fit_scope: str, split_col: str) -> DataFrame:
@@ -103,7 +111,7 @@ def experiment_nmf(
     max_features: int = 1000,
     max_iter: int = 500,
     split_col: str = "split",
-    parallelism: int = 4,
+    parallelism: int = 8,
     fit_scope: str = "train",
 ) -> DataFrame:
     """Accuracy of four classifiers on NMF weights, per number of topics.
@@ -116,11 +124,11 @@ def experiment_nmf(
     vectors = vectorizer.tfidf(df).drop("tokens").persist()
     train = vectors.filter(F.col(split_col) == "train")
     svd = lsa_fit(train, min(max(components), vectorizer.size - 1))
-    rows = []
+    settings = []
     for k in components:
         model = nmf_fit(train, k, vectorizer.size, max_iter, svd=svd)
-        scored = scores_as_vector(model.transform(vectors).drop("features"))
-        rows += [(k, name, acc) for name, acc in _grid_row(scored, split_col, "gaussian", parallelism)]
+        settings.append(((k,), scores_as_vector(model.transform(vectors).drop("features")), k))
+    rows = accuracy_rows(settings, split_col, "gaussian", parallelism)
     vectors.unpersist()
     return df.sparkSession.createDataFrame(rows, "n_components int, Classifier string, Accuracy double")
 
@@ -130,7 +138,7 @@ def experiment_lsa(
     max_features: Sequence[int] = (500, 1000, 2000),
     components: Sequence[int] = (50, 100, 200),
     split_col: str = "split",
-    parallelism: int = 4,
+    parallelism: int = 8,
     fit_scope: str = "train",
 ) -> DataFrame:
     """Accuracy on LSA scores per vocabulary size and k; one SVD per size, smaller k are its first columns."""
@@ -142,9 +150,8 @@ def experiment_lsa(
         vectors = sizes[m].tfidf(df).drop("tokens").persist()
         svd = lsa_fit(_fit_rows(vectors, fit_scope, split_col), min(max(components), sizes[m].size - 1))
         scored = svd.transform(vectors).drop("features").persist()
-        for k in components:
-            part = scores_as_vector(scored, k)
-            rows += [(m, k, name, acc) for name, acc in _grid_row(part, split_col, "gaussian", parallelism)]
+        settings = [((m, k), scores_as_vector(scored, k), k) for k in components]
+        rows += accuracy_rows(settings, split_col, "gaussian", parallelism)
         scored.unpersist()
         vectors.unpersist()
     schema = "max_features int, n_components int, Classifier string, Accuracy double"
@@ -156,7 +163,7 @@ def experiment_bow_tfidf(
     bow_features: Sequence[int] = (500, 1000, 2000),
     tfidf_features: Sequence[int] = (1000, 2000, 3000),
     split_col: str = "split",
-    parallelism: int = 4,
+    parallelism: int = 8,
     fit_scope: str = "train",
 ) -> DataFrame:
     """Accuracy on counts and on TF-IDF, with and without bigrams.
@@ -176,12 +183,13 @@ def experiment_bow_tfidf(
     stats.unpersist()
     rows = []
     for method, features in (("BoW", bow_features), ("TF-IDF", tfidf_features)):
+        settings = []
         for m in features:
             for ngram in nested:
                 vectorizer: Vectorizer = nested[ngram][m]
                 vectors = vectorizer.counts(df) if method == "BoW" else vectorizer.tfidf(df)
-                scores = _grid_row(vectors, split_col, "multinomial", parallelism)
-                rows += [(method, m, ngram, name, acc) for name, acc in scores]
+                settings.append(((method, m, ngram), vectors, vectorizer.size))
+        rows += accuracy_rows(settings, split_col, "multinomial", parallelism)
     schema = "Method string, max_features int, ngram_range string, Classifier string, Accuracy double"
     return df.sparkSession.createDataFrame(rows, schema)
 
@@ -191,7 +199,7 @@ def experiment_pca(
     k: int = 4,
     max_features: int = 1000,
     split_col: str = "split",
-    parallelism: int = 4,
+    parallelism: int = 8,
     fit_scope: str = "train",
 ) -> tuple[DataFrame, DataFrame]:
     """Terms of each component, and a classification report per classifier on the component scores."""
@@ -201,8 +209,8 @@ def experiment_pca(
     vectors = vectorizer.tfidf(df).drop("tokens").persist()
     pca = pca_fit(_fit_rows(vectors, fit_scope, split_col), k)
     topics = pca_topic_terms(pca.loadings(df.sparkSession), vectorizer)
-    train, test = _split(scores_as_vector(pca.transform(vectors).drop("features")), split_col)
-    models = classifiers(train.count())
+    train, test, n = _split(scores_as_vector(pca.transform(vectors).drop("features")), split_col, k)
+    models = classifiers(n)
 
     def predict(name: str) -> DataFrame:
         scored = models[name].fit(train).transform(test)

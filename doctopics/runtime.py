@@ -18,6 +18,8 @@ T = TypeVar("T")
 MAX_BROADCAST_ROWS = 200_000
 # Inputs below this size per core are spread over all cores before CPU-heavy text work.
 SPREAD_BYTES_PER_CORE = 32 * 1024 * 1024
+# Smallest useful partition of a persisted fit input.
+TARGET_PARTITION_BYTES = 16 * 1024 * 1024
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -84,9 +86,15 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
+def sized(df: DataFrame, rows: int, bytes_per_row: int) -> DataFrame:
+    """Fewer partitions for data an iterative fit rereads, when they would hold under 16 MB; never more."""
+    wanted = max(1, -(-rows * bytes_per_row // TARGET_PARTITION_BYTES))
+    return df.coalesce(wanted) if wanted < df.rdd.getNumPartitions() else df
+
+
 def run_parallel(tasks: Sequence[Callable[[], T]], parallelism: int = 4) -> list[T]:
     """Submit independent Spark jobs (model fits of a grid) from a few driver threads, results in order."""
     if parallelism <= 1 or len(tasks) <= 1:
         return [t() for t in tasks]
     with ThreadPool(min(parallelism, len(tasks))) as pool:
-        return pool.map(inheritable_thread_target(lambda t: t()), tasks, chunksize=1)
+        return pool.map(inheritable_thread_target(SparkSession.active())(lambda t: t()), tasks, chunksize=1)
