@@ -29,14 +29,12 @@ from doctopics.sources.selection import cut_points
 OUTLIER = -1
 
 
-def _as_matrix(values: pa.Array) -> np.ndarray:
+def _as_matrix(values: pa.Array, width: int) -> np.ndarray:
     """Arrow list column to a 2-D array; a null row becomes zeros."""
-    if values.null_count:
-        width = max((len(v) for v in values.drop_null().to_pylist()), default=0)
-        rows = [v if v is not None else [0.0] * width for v in values.to_pylist()]
-        return np.asarray(rows, dtype=float).reshape(len(rows), width)
-    flat = values.flatten().to_numpy(zero_copy_only=False).astype(float)
-    return flat.reshape(len(values), -1) if len(values) else flat.reshape(0, 0)
+    out = np.zeros((len(values), width))
+    known = values.is_valid().to_numpy(zero_copy_only=False)
+    out[known] = values.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(-1, width)
+    return out
 
 
 def _as_lists(matrix: np.ndarray) -> pa.Array:
@@ -49,8 +47,7 @@ def _per_topic(matrix: np.ndarray, fn: Callable[[np.ndarray, np.ndarray], np.nda
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def compute(values: pa.Array) -> pa.Array:
-        rows = _as_matrix(values)
-        return _as_lists(fn(rows, matrix) if len(rows) else np.zeros((0, len(matrix))))
+        return _as_lists(fn(_as_matrix(values, matrix.shape[1]), matrix))
 
     return compute(c)
 

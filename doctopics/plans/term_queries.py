@@ -133,8 +133,8 @@ def top_terms_per_label_sample(spark, sf_dir):
 @register(
     "matrix_stats",
     f"""{FULL}, c AS (SELECT count(*) AS nnz FROM cells)
-    SELECT {N_DOCS} AS n_rows, CAST(5000 AS BIGINT) AS n_cols, nnz,
-        round((1 - nnz / ({N_DOCS} * 5000.0)) * 100, 6) AS sparsity_pct, round(nnz / CAST({N_DOCS} AS DOUBLE), 6) AS mean_nnz
+    SELECT {N_DOCS} AS n_rows, (SELECT count(*) FROM vocab) AS n_cols, nnz,
+        round((1 - nnz / CAST({N_DOCS} * (SELECT count(*) FROM vocab) AS DOUBLE)) * 100, 6) AS sparsity_pct, round(nnz / CAST({N_DOCS} AS DOUBLE), 6) AS mean_nnz
     FROM c""",
 )
 def matrix_stats(spark, sf_dir):
