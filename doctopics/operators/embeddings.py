@@ -266,7 +266,10 @@ def assignment_quality(df: DataFrame, topic_col: str = "topic", score_col: str =
         F.count_if(F.col(topic_col) != OUTLIER).alias("assigned"),
         F.avg(F.when(F.col(topic_col) != OUTLIER, F.col(score_col))).alias("mean_score"),
     )
-    return counts.withColumn("median_score", F.lit(exact_median(assigned, "s")).cast("double"))
+    assigned = assigned.persist()  # the median reads the scores several times
+    median = exact_median(assigned, "s")
+    assigned.unpersist()
+    return counts.withColumn("median_score", F.lit(median).cast("double"))
 
 
 # Cosines are compared as integers of this resolution.

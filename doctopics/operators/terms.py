@@ -27,9 +27,18 @@ def top_rows(df: DataFrame, n: int, order: list, by: list[str] | None = None, ra
 # ---------------------------------------------------------------- counts per term
 
 
+def explode_tokens(df: DataFrame, tokens_col: str = "tokens", keep: list[str] = ()) -> DataFrame:
+    """One row per token.
+
+    A plain explode makes the optimizer add a filter on the array's size below the projection, which
+    would tokenise every text a second time; the outer form does not.
+    """
+    return df.select(*keep, F.explode_outer(tokens_col).alias("term")).filter(F.col("term").isNotNull())
+
+
 def term_frequency(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
     """Occurrences per term."""
-    return df.select(F.explode(tokens_col).alias("term")).groupBy("term").agg(F.count("*").alias("tf"))
+    return explode_tokens(df, tokens_col).groupBy("term").agg(F.count("*").alias("tf"))
 
 
 def document_frequency(df: DataFrame, tokens_col: str = "tokens") -> DataFrame:
@@ -238,7 +247,7 @@ def class_word_frequencies(
 ) -> DataFrame:
     """Most frequent words per class (and split)."""
     by = list(by)
-    counts = df.select(*by, F.explode(tokens_col).alias("term")).groupBy(*by, "term").agg(F.count("*").alias("n"))
+    counts = explode_tokens(df, tokens_col, by).groupBy(*by, "term").agg(F.count("*").alias("n"))
     order = [F.desc("n"), "term"]
     # Rank inside 64 slices of each class first: the words of a large class never meet in one task.
     sliced = counts.withColumn("_slice", F.pmod(F.xxhash64("term"), F.lit(64)))

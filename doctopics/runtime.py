@@ -61,8 +61,9 @@ def broadcast_within(df: DataFrame, rows: int | None, limit: int = MAX_BROADCAST
 
 
 def counted_broadcast(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Same for a side of unknown size: probe up to ``limit`` + 1 rows first."""
-    return broadcast_within(df, df.limit(limit + 1).count(), limit)
+    """Same for a side of unknown size: count it first. It is persisted, so counting does not compute it twice."""
+    side = df.persist()
+    return broadcast_within(side, side.count(), limit)
 
 
 def one_row(first: DataFrame, *others: DataFrame) -> DataFrame:

@@ -7,10 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from doctopics.constants import LABEL_NAMES
-from doctopics.runtime import counted_broadcast, cut_lineage
+from doctopics.runtime import counted_broadcast
 
 # Buckets of one histogram pass when searching exact cut points.
 HISTOGRAM_BUCKETS = 4096
+# Hexadecimal digits of a hash that name its histogram bucket.
+PREFIX_DIGITS = 4
 
 
 def label_counts(df: DataFrame, label_col: str = "labels") -> DataFrame:
@@ -70,14 +72,14 @@ def stratified_split(
 ) -> DataFrame:
     """Exact split per label: the rows with the smallest hashes become ``train``, the rest ``test``.
 
-    The per-label cut is found from a histogram of hash prefixes (at most 65,536 counts per label), so
-    only the rows of the one bucket holding the cut are ranked. A label with a third of all rows costs
-    no more than the others, and no row outside that bucket is shuffled.
+    Per label the last training hash is found first, from ids and labels alone: a histogram of hash
+    prefixes (at most 65,536 counts per label) names the one bucket holding the cut, and only that
+    bucket's rows are ranked. The split itself is then a comparison with a broadcast threshold, so no
+    document is shuffled and a label with a third of all rows costs no more than the others.
     """
-    hashed = df.withColumn("_h", split_hash(id_col, seed)).withColumn(
-        "_b", F.conv(F.substring("_h", 1, 4), 16, 10).cast("int")
-    )
-    histogram = hashed.groupBy(label_col, "_b").agg(F.count("*").alias("_n"))
+    keys = df.select(label_col, id_col).withColumn("_h", split_hash(id_col, seed))
+    keys = keys.withColumn("_b", F.conv(F.substring("_h", 1, PREFIX_DIGITS), 16, 10).cast("int"))
+    histogram = keys.groupBy(label_col, "_b").agg(F.count("*").alias("_n"))
     sizes = histogram.groupBy(label_col).agg(F.sum("_n").alias("_total"))
     if train_size is not None:
         sizes = _largest_remainder(sizes, label_col, train_size)
@@ -89,19 +91,26 @@ def stratified_split(
         histogram.withColumn("_before", before)
         .join(sizes, label_col)
         .filter((F.col("_before") <= F.col("_want")) & (F.col("_want") < F.col("_before") + F.col("_n")))
-        .select(label_col, F.col("_b").alias("_cut"), (F.col("_want") - F.col("_before")).alias("_rest"))
-    )
-    marked = hashed.join(counted_broadcast(cut_lineage(cuts)), label_col, "left")
-    # No cut bucket: the label wants all of its rows.
-    side = F.when(F.col("_cut").isNull() | (F.col("_b") < F.col("_cut")), "train").when(
-        F.col("_b") > F.col("_cut"), "test"
+        .select(label_col, F.col("_b"), (F.col("_want") - F.col("_before")).alias("_rest"))
     )
-    clear = marked.withColumn(out_col, side).filter(F.col(out_col).isNotNull())
+    cuts = counted_broadcast(cuts)
     rank = F.row_number().over(Window.partitionBy(label_col).orderBy("_h", id_col))
-    edge = marked.filter(F.col("_b") == F.col("_cut")).withColumn(
-        out_col, F.when(rank <= F.col("_rest"), "train").otherwise("test")
+    last = (
+        keys.join(cuts, [label_col, "_b"])
+        .withColumn("_r", rank)
+        .filter(F.col("_r") == F.col("_rest"))
+        .select(label_col, F.col("_h").alias("_last"))
+    )
+    # A cut between buckets is the bare prefix: it sorts before every hash that starts with it. A label
+    # without cut wants all of its rows; "g" sorts after every hexadecimal digit.
+    prefix = F.lower(F.lpad(F.hex("_b"), PREFIX_DIGITS, "0"))
+    bound = F.when(F.col("_rest").isNull(), "g").when(F.col("_rest") == 0, prefix).otherwise(F.col("_last"))
+    bounds = (
+        sizes.select(label_col).join(cuts, label_col, "left").join(last, label_col, "left").select(label_col, bound.alias("_bound"))
     )
-    return clear.unionByName(edge).select(*df.columns, out_col)
+    marked = df.join(counted_broadcast(bounds), label_col, "left")
+    side = F.when(split_hash(id_col, seed) <= F.col("_bound"), "train").otherwise("test")
+    return marked.withColumn(out_col, side).select(*df.columns, out_col)
 
 
 def _largest_remainder(sizes: DataFrame, label_col: str, train_size: int) -> DataFrame:
