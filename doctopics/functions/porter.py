@@ -9,7 +9,7 @@ import re
 from functools import lru_cache
 
 # Words the extended algorithm maps directly.
-_IRREGULAR = {
+IRREGULAR = {
     "skies": "sky", "sky": "sky", "dying": "die", "lying": "lie", "tying": "tie", "news": "news",
     "innings": "inning", "inning": "inning", "outings": "outing", "outing": "outing",
     "cannings": "canning", "canning": "canning", "howe": "howe", "proceed": "proceed",
@@ -17,16 +17,16 @@ _IRREGULAR = {
 }
 
 # Suffix tables of steps 2, 3 and 4.
-_STEP2 = [
+STEP2 = [
     ("ational", "ate"), ("tional", "tion"), ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("bli", "ble"),
     ("alli", "al"), ("entli", "ent"), ("eli", "e"), ("ousli", "ous"), ("ization", "ize"), ("ation", "ate"),
     ("ator", "ate"), ("alism", "al"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"),
     ("aliti", "al"), ("iviti", "ive"), ("biliti", "ble"), ("fulli", "ful"),
 ]
-_STEP3 = [
+STEP3 = [
     ("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ful", ""), ("ness", ""),
 ]
-_STEP4 = [
+STEP4 = [
     "al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ion", "ou", "ism", "ate",
     "iti", "ous", "ive", "ize",
 ]
@@ -92,7 +92,7 @@ def _final_y(w: str) -> str:
 
 
 def _derivation(w: str) -> str:
-    for suffix, new in _STEP2:
+    for suffix, new in STEP2:
         if w.endswith(suffix):
             stem = w[: -len(suffix)]
             if _measure(stem) == 0:
@@ -104,7 +104,7 @@ def _derivation(w: str) -> str:
 
 
 def _ending(w: str) -> str:
-    for suffix, new in _STEP3:
+    for suffix, new in STEP3:
         if w.endswith(suffix):
             stem = w[: -len(suffix)]
             return stem + new if _measure(stem) > 0 else w
@@ -112,7 +112,7 @@ def _ending(w: str) -> str:
 
 
 def _residue(w: str) -> str:
-    for suffix in _STEP4:
+    for suffix in STEP4:
         if w.endswith(suffix):
             stem = w[: -len(suffix)]
             allowed = _measure(stem) > 1 and (suffix != "ion" or stem.endswith(("s", "t")))
@@ -132,8 +132,8 @@ def _tidy(w: str) -> str:
 @lru_cache(maxsize=1 << 17)
 def stem(word: str) -> str:
     word = word.lower()
-    if word in _IRREGULAR:
-        return _IRREGULAR[word]
+    if word in IRREGULAR:
+        return IRREGULAR[word]
     if len(word) <= 2:
         return word
     for step in (_plural, _past, _final_y, _derivation, _ending, _residue, _tidy):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from doctopics.constants import COUNTRIES, EMBED_STOP_WORDS, TOP_LEVEL_DOMAINS, WEB_TOKENS, WEEKDAYS
-from doctopics.functions import dateline, text, tokens
+from doctopics.functions import dateline, porter, text, tokens
 from doctopics.plans.base import STOP_SQL, V_ARTICLES, WORD_RE, articles, documents, register, sql_list, table
 from doctopics.runtime import spread
 
@@ -272,7 +272,75 @@ def preprocess_tokens(spark, sf_dir):
     return _token_report(preprocessed(spark, sf_dir))
 
 
-@register("stem_tokens")
+def _stem_sql() -> str:
+    """Porter stems of the distinct tokens ``forms(w0)`` as ``stems(w0, w)``, one CTE per step.
+
+    A leading y is written Y, so that the vowel classes treat it as a consonant.
+    """
+    c, v = "[^aeiou][^aeiouy]*", "[aeiouy][aeiou]*"
+    positive, above_one = f"^(?:{c})?{v}{c}", f"^(?:{c})?(?:{v}{c}){{2}}"
+    exactly_one = f"^(?:{c})?{v}{c}(?:{v})?$"
+    short = f"(^{c}[aeiouy][^aeiouwxy]$)|(^[aeiou][^aeiou]$)"
+    vowel = f"^(?:{c})?[aeiouy]"
+
+    def m(x: str, pattern: str) -> str:
+        return f"regexp_matches({x}, '{pattern}')"
+
+    def cut(suffix: str) -> str:
+        return f"left(w, -{len(suffix)})"
+
+    def rules(pairs, pattern: str) -> str:
+        cases = [
+            f"WHEN w LIKE '%{old}' THEN CASE WHEN {m(cut(old), pattern)} THEN {cut(old)} || '{new}' ELSE w END"
+            for old, new in pairs
+        ]
+        return "CASE " + " ".join(cases) + " ELSE w END"
+
+    irregular = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in porter.IRREGULAR.items())
+    fixed = f"(length(w0) <= 2 OR w0 IN ({sql_list(porter.IRREGULAR)}))"
+    past = f"""CASE WHEN w LIKE '%ied' THEN CASE WHEN length(w) = 4 THEN left(w, -1) ELSE left(w, -2) END
+        WHEN w LIKE '%eed' THEN CASE WHEN {m("left(w, -3)", positive)} THEN left(w, -1) ELSE w END
+        WHEN w LIKE '%ed' AND {m("left(w, -2)", vowel)} THEN '+' || left(w, -2)
+        WHEN w LIKE '%ing' AND {m("left(w, -3)", vowel)} THEN '+' || left(w, -3) ELSE w END"""
+    doubled = "length(w) > 2 AND right(w, 1) = substr(w, -2, 1) AND regexp_matches(w, '[^aeiou]$')"
+    mended = f"""CASE WHEN w NOT LIKE '+%' THEN w WHEN regexp_matches(w, '(at|bl|iz)$') THEN substr(w, 2) || 'e'
+        WHEN {doubled} AND NOT regexp_matches(w, '[lsz]$') THEN substr(w, 2, length(w) - 2)
+        WHEN {doubled} THEN substr(w, 2)
+        WHEN {m("substr(w, 2)", exactly_one)} AND {m("substr(w, 2)", short)} THEN substr(w, 2) || 'e' ELSE substr(w, 2) END"""
+    four = [(x, "") for x in porter.STEP4 if x != "ion"]
+    steps = [
+        """CASE WHEN w LIKE '%ies' THEN CASE WHEN length(w) = 4 THEN left(w, -1) ELSE left(w, -2) END
+        WHEN w LIKE '%sses' THEN left(w, -2) WHEN w LIKE '%s' AND w NOT LIKE '%ss' THEN left(w, -1) ELSE w END""",
+        past,
+        mended,
+        "CASE WHEN w LIKE '%y' AND length(w) > 2 AND regexp_matches(left(w, -1), '([^aeiouy]|[aeiou]y)$') THEN left(w, -1) || 'i' ELSE w END",
+        f"CASE WHEN w LIKE '%alli' AND {m(cut('alli'), positive)} THEN left(w, -2) ELSE w END",
+        rules(porter.STEP2, positive),
+        f"CASE WHEN w LIKE '%logi' AND {m('left(w, -3)', positive)} THEN left(w, -1) ELSE w END",
+        rules(porter.STEP3, positive),
+        rules(four[:11], above_one).removesuffix(" ELSE w END")
+        + f" WHEN w LIKE '%ion' THEN CASE WHEN {m(cut('ion'), above_one)} AND regexp_matches({cut('ion')}, '[st]$') THEN {cut('ion')} ELSE w END "
+        + rules(four[11:], above_one).removeprefix("CASE "),
+        f"""CASE WHEN w LIKE '%e' AND ({m("left(w, -1)", above_one)} OR ({m("left(w, -1)", exactly_one)}
+            AND NOT {m("left(w, -1)", short)})) THEN left(w, -1) ELSE w END""",
+        f"CASE WHEN w LIKE '%ll' AND {m('left(w, -1)', above_one)} THEN left(w, -1) ELSE w END",
+    ]
+    ctes = ["s0 AS (SELECT w0, CASE WHEN starts_with(w0, 'y') THEN 'Y' || substr(w0, 2) ELSE w0 END AS w FROM forms)"]
+    for i, step in enumerate(steps):
+        ctes.append(f"s{i + 1} AS (SELECT w0, {step} AS w FROM s{i})")
+    done = f"CASE WHEN {fixed} THEN CASE w0 {irregular} ELSE w0 END ELSE replace(w, 'Y', 'y') END"
+    ctes.append(f"stems AS (SELECT w0, {done} AS w FROM s{len(steps)})")
+    return ", ".join(ctes)
+
+
+STEMMED = f"""WITH {PREPROCESSED_CTE}, long AS (SELECT doc_id, unnest(tokens) AS w0, generate_subscripts(tokens, 1) AS i FROM t),
+    forms AS (SELECT DISTINCT w0 FROM long), {_stem_sql()},
+    lists AS (SELECT doc_id, list(w ORDER BY i) AS ws FROM long JOIN stems USING (w0) GROUP BY doc_id)
+    SELECT doc_id, coalesce(len(ws), 0) AS n_tokens, md5(coalesce(array_to_string(ws, ' '), '')) AS tokens_md5
+    FROM documents LEFT JOIN lists USING (doc_id)"""
+
+
+@register("stem_tokens", STEMMED)
 def stem_tokens(spark, sf_dir):
     return _token_report(preprocessed(spark, sf_dir).withColumn("tokens", tokens.stem_tokens(F.col("tokens"))))
 
