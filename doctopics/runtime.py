@@ -1,4 +1,4 @@
-"""Session helpers shared by all jobs: shared work folder, lineage cuts, bounded broadcasts."""
+"""Session helpers shared by all jobs: shared work folder, written tables, bounded broadcasts, parallel fits."""
 
 from __future__ import annotations
 
@@ -39,12 +39,6 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/doctopics/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors and keeps loop plans short."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def materialise(df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and return the table, for inputs that several passes read."""
     path = work_path(df.sparkSession, name)
