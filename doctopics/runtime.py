@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import io
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Sequence
 from multiprocessing.pool import ThreadPool
+from pathlib import Path
 from typing import TypeVar
 
 from pyspark import inheritable_thread_target
@@ -22,6 +26,26 @@ SPREAD_BYTES_PER_CORE = 32 * 1024 * 1024
 TARGET_PARTITION_BYTES = 16 * 1024 * 1024
 
 
+_shipped_to: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers, once per application; they need no PYTHONPATH then."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped_to:
+        return
+    here = Path(__file__).resolve().parent
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for p in sorted(here.rglob("*.py")):
+            z.write(p, p.relative_to(here.parent))
+    # addPyFile copies the file to Spark's own file server at once
+    path = os.path.join(tempfile.mkdtemp(prefix="doctopics-"), "doctopics.zip")
+    Path(path).write_bytes(data.getvalue())
+    spark.sparkContext.addPyFile(path)
+    _shipped_to.add(app)
+
+
 def shared_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in ``spark.checkpoint.dir``; a temporary one only if unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
