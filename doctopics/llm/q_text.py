@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from doctopics.llm.base import register, table
+from doctopics.llm.minhash_dedup import near_duplicate_classes
 from doctopics.llm.substring_dedup import dedup_substrings
 
 
@@ -11,3 +12,9 @@ def op8_substring_dedup(spark, sf_dir):
     """No SQL: windows of all documents are too slow in plain SQL; checked against brute force."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return dedup_substrings(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@register("op2_minhash_dedup")
+def op2_minhash_dedup(spark, sf_dir):
+    """No SQL: set similarity of all documents is too slow in plain SQL; checked against brute force."""
+    return near_duplicate_classes(table(spark, sf_dir, "documents"))
