@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from doctopics.llm.base import register, table
 from doctopics.llm.minhash_dedup import near_duplicate_classes
+from doctopics.llm.packing import pack_documents
 from doctopics.llm.substring_dedup import dedup_substrings
 
 
@@ -18,3 +19,16 @@ def op8_substring_dedup(spark, sf_dir):
 def op2_minhash_dedup(spark, sf_dir):
     """No SQL: set similarity of all documents is too slow in plain SQL; checked against brute force."""
     return near_duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+def tokenizer_path() -> str:
+    """The vocabulary the packing query uses; another file is a parameter of ``pack_documents``."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@register("op1_best_fit_packing")
+def op1_best_fit_packing(spark, sf_dir):
+    """No SQL: tokenising and packing; checked piece by piece against the tokenizer and by an exact round trip."""
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
