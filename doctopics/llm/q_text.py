@@ -5,6 +5,7 @@ from __future__ import annotations
 from doctopics.llm.base import register, table
 from doctopics.llm.minhash_dedup import near_duplicate_classes
 from doctopics.llm.packing import pack_documents
+from doctopics.llm.ppm import score_held_out
 from doctopics.llm.substring_dedup import dedup_substrings
 
 
@@ -32,3 +33,9 @@ def tokenizer_path() -> str:
 def op1_best_fit_packing(spark, sf_dir):
     """No SQL: tokenising and packing; checked piece by piece against the tokenizer and by an exact round trip."""
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+@register("op4_lm_scoring")
+def op4_lm_scoring(spark, sf_dir):
+    """No SQL: a trained byte model; checked against a plain coder, the base against plain counting."""
+    return score_held_out(table(spark, sf_dir, "documents"))
