@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from doctopics.llm.base import register, table
+from doctopics.llm.langid import identify_languages
 from doctopics.llm.minhash_dedup import near_duplicate_classes
 from doctopics.llm.packing import pack_documents
 from doctopics.llm.ppm import score_held_out
@@ -39,3 +40,9 @@ def op1_best_fit_packing(spark, sf_dir):
 def op4_lm_scoring(spark, sf_dir):
     """No SQL: a trained byte model; checked against a plain coder, the base against plain counting."""
     return score_held_out(table(spark, sf_dir, "documents"))
+
+
+@register("op9_language_id")
+def op9_language_id(spark, sf_dir):
+    """No SQL: trained classifiers; checked by accuracy on the documents they were not trained on."""
+    return identify_languages(table(spark, sf_dir, "documents"))
