@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from doctopics.llm import licenses
 from doctopics.llm.base import register, table
 from doctopics.llm.langid import identify_languages
 from doctopics.llm.minhash_dedup import near_duplicate_classes
 from doctopics.llm.packing import pack_documents
 from doctopics.llm.ppm import score_held_out
+from doctopics.llm.sharding import stratified_shards
 from doctopics.llm.substring_dedup import dedup_substrings
 
 
@@ -46,3 +48,14 @@ def op4_lm_scoring(spark, sf_dir):
 def op9_language_id(spark, sf_dir):
     """No SQL: trained classifiers; checked by accuracy on the documents they were not trained on."""
     return identify_languages(table(spark, sf_dir, "documents"))
+
+
+@register("op6_sharding")
+def op6_sharding(spark, sf_dir):
+    """No SQL: DuckDB has no crc32; checked against plain sorting."""
+    return stratified_shards(table(spark, sf_dir, "documents"))
+
+
+@register("op7_license_scan", licenses.ORACLE)
+def op7_license_scan(spark, sf_dir):
+    return licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
