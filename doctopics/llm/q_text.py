@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from doctopics.llm import licenses
 from doctopics.llm.base import register, table
+from doctopics.llm.decontaminate import contamination
 from doctopics.llm.langid import identify_languages
 from doctopics.llm.minhash_dedup import near_duplicate_classes
 from doctopics.llm.packing import pack_documents
 from doctopics.llm.ppm import score_held_out
+from doctopics.llm.quality import quality_rules, trusted_documents
 from doctopics.llm.sharding import stratified_shards
 from doctopics.llm.substring_dedup import dedup_substrings
 
@@ -59,3 +63,35 @@ def op6_sharding(spark, sf_dir):
 @register("op7_license_scan", licenses.ORACLE)
 def op7_license_scan(spark, sf_dir):
     return licenses.scan_licenses(table(spark, sf_dir, "documents"), licenses.known_licenses(spark))
+
+
+@register("op5_quality_rules")
+def op5_quality_rules(spark, sf_dir):
+    """No SQL: DuckDB has other hashes; the base is checked by SQL in the tests, the ratio against brute force."""
+    rules = quality_rules(table(spark, sf_dir, "documents"), trusted_documents(table(spark, sf_dir, "labels")))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return rules.select("doc_id", *counts, "base_failed", "kept", "n_grams", F.round("llr", 9).alias("llr"))
+
+
+OP3_SQL = r"""WITH
+  d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+  i AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+  g AS (SELECT DISTINCT item_id, len, w[k : k + len - 1] AS gram
+        FROM (SELECT item_id, w, len, unnest(range(1, len(w) - len + 2)) AS k FROM (SELECT *, least(10, len(w)) AS len FROM i WHERE len(w) > 0))),
+  s AS (SELECT DISTINCT len FROM g),
+  o AS (SELECT doc_id, k, len, w[k : k + len - 1] AS gram
+        FROM (SELECT doc_id, w, s.len, unnest(range(1, len(w) - s.len + 2)) AS k FROM d, s WHERE len(w) >= s.len)),
+  m AS (SELECT o.doc_id, o.k, o.len, g.item_id FROM o JOIN g USING (len, gram)),
+  h AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(k, k + len)) AS p FROM m) GROUP BY doc_id),
+  t AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
+        FROM m GROUP BY doc_id)
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(h.n, 0) AS n_hit, coalesce(t.n, 0) AS n_items,
+    sha256(coalesce(t.ids, '')) AS items_sha256, coalesce(h.n, 0) > 0 AS contaminated
+  FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)"""
+
+
+@register("op3_decontamination", OP3_SQL)
+def op3_decontamination(spark, sf_dir):
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

@@ -201,3 +201,16 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     )
     out = judged.unionByName(rest).mapInArrow(_removal(min_words), schema)
     return unpack_rest(out, "n_words", "n_removed", "kept_sha256")
+
+
+def cut_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The columns of ``docs`` with repeats cut out of ``text`` (and ``n_chars``, if there, set to its new length).
+
+    Documents that lose all their words are dropped; unchanged ones, empty ones included, stay as they are.
+    """
+    out = dedup_substrings(docs, min_words).filter("n_removed = 0 OR n_removed < n_words")
+    cut = F.col("n_removed") > 0
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        out = out.withColumn("n_chars", F.when(cut, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
