@@ -12,6 +12,8 @@ hold the end id alone. Rows that repeat an id are packed as rows of their own. A
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +30,9 @@ MAX_TOKENS = 4096
 END_ID = 1
 OPEN_BINS = 1024
 TASK_SEQUENCES = 512
-CACHED_WORDS = 300_000
+CACHED_WORDS = 500_000
+# Letters that lower-casing and composing leave single letters, then signs: such a word is two pre-tokens at most.
+PLAIN_WORD = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u012F\u0131-\u024F]+)([!-/:-@\[-`{-~]*)")
 
 _encoders: dict[str, "WordEncoder"] = {}
 
@@ -44,6 +48,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.plain = plain_pipeline(self.tokenizer)
+        self.model = self.tokenizer.model
+        self.signs: dict[str, list[int]] = {"": []}
         self.clear()
 
     def clear(self) -> None:
@@ -63,13 +70,12 @@ class WordEncoder:
         if len(new):
             raw = data.tobytes()
             words = [raw[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)]
-            found = [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            size = np.array([len(x) for x in found], np.int64)
+            size, flat_ids = self._ids(words)
             known = np.concatenate([self.known, hashes[~have]])
             order = np.argsort(known)
             self.begin = np.concatenate([self.begin, len(self.ids) + np.cumsum(size) - size])[order]
             self.size = np.concatenate([self.size, size])[order]
-            self.ids = np.concatenate([self.ids, *found])
+            self.ids = np.concatenate([self.ids, flat_ids])
             self.known = known[order]
             at = np.searchsorted(self.known, hashes)
         begin, size = self.begin[at][which], self.size[at][which]
@@ -77,6 +83,52 @@ class WordEncoder:
         return self.ids[np.arange(len(shift)) + shift], size
 
 
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each word and all ids; plain words go to the merge model directly."""
+        sizes, ids, tokenize, signs = [], [], self.model.tokenize, self.signs
+        if len(signs) > 10_000:
+            signs = self.signs = {"": []}
+        for word in words:
+            found = PLAIN_WORD.fullmatch(word) if self.plain else None
+            if found is None:
+                own = self.tokenizer.encode(word, add_special_tokens=False).ids
+            else:
+                letters, tail = found.groups()
+                letters = letters.lower()
+                if not letters.isascii():
+                    letters = letters.encode().decode("latin-1").translate(BYTE_LETTERS)
+                own = [t.id for t in tokenize(letters)]
+                if tail:
+                    if tail not in signs:
+                        signs[tail] = [t.id for t in tokenize(tail)]
+                    own += signs[tail]
+            sizes.append(len(own))
+            ids += own
+        return np.array(sizes, np.int64), np.array(ids, np.uint32)
+
+
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(others)}
+
+
+BYTE_LETTERS = byte_letters()
+
+
+def plain_pipeline(tokenizer) -> bool:
+    """Whether the tokenizer splits letters from signs after composing and lower-casing, as PLAIN_WORD takes for granted."""
+    spec = json.loads(tokenizer.to_str())
+    kinds = [n["type"] for n in (spec["normalizer"] or {}).get("normalizers", [])]
+    steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [])
+    if kinds != ["NFC", "Replace", "Lowercase"] or [x["type"] for x in steps] != ["Split", "ByteLevel"]:
+        return False
+    split, level = steps
+    letters_signs = split["pattern"].get("Regex", "").endswith(r"|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+") and split["invert"]
+    return letters_signs and not level["add_prefix_space"] and not level["use_regex"]
+
+
 def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)

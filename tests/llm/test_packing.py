@@ -9,7 +9,7 @@ from collections import defaultdict
 import numpy as np
 from tokenizers import Tokenizer
 
-from doctopics.llm.packing import OpenBins, pack_documents
+from doctopics.llm.packing import OpenBins, WordEncoder, pack_documents
 from doctopics.llm.q_text import op1_best_fit_packing, tokenizer_path
 
 
@@ -77,3 +77,17 @@ def test_fullest_closes_first():
     bins = OpenBins(10, 2)
     assert [bins.put(s)[0] for s in (6, 7, 8)] == [0, 1, 2]  # bin 1 had least free space and was closed
     assert bins.put(4)[0] == 0 and bins.put(3)[0] == 3
+
+
+def test_words_have_the_tokenizers_ids():
+    encoder = WordEncoder(tokenizer_path())
+    assert encoder.plain
+    rng = random.Random(4)
+    letters = "abcdefgXYZ" + "".join(map(chr, range(0xC0, 0x250))) + "ßİıŉΣσ"
+    words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 12))) + rng.choice(["", "", ".", "***", "'", "!!", "'s", "n't", "_", "1"]) for _ in range(3000)]
+    words += ["x" * 5000, "it's", "'sound", "(a)", "a-b", "é́", "<|endoftext|>", "a<|endoftext|>."]
+    sizes, ids = encoder._ids(words)
+    at = 0
+    for word, n in zip(words, sizes.tolist(), strict=True):
+        assert ids[at : at + n].tolist() == encoder.tokenizer.encode(word, add_special_tokens=False).ids, word
+        at += n
