@@ -110,7 +110,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, max_
     totals = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("r"), F.coalesce(F.sum("target"), F.lit(0)).alias("t")).first()
     room = SMOOTHING * buckets
     target = F.log((F.col("target") + SMOOTHING) / F.lit(totals["t"] + room))
-    raw = F.log((F.col("raw") + SMOOTHING) / F.lit(totals["r"] + room))
+    # an occurrence is no evidence of its own, or n-grams of one document alone would speak against it
+    raw = F.log((F.col("raw") - 1 + SMOOTHING) / F.lit(totals["r"] + room))
     return counts.select("bucket", (target - raw).alias("w"))
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from doctopics.llm.base import materialise, shared_root
 
 WINDOW = 1 << 20
-FILE_BYTES = 8 << 20
+FILE_RECORDS = 5_000
 RECORD_END = b"\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 ID = "urn:page:"
@@ -90,14 +90,14 @@ def records(pages: DataFrame) -> DataFrame:
     return F.concat(head, payload).alias("value")
 
 
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
-    """Write all pages into monolithic ``*.txt.gz`` streams of about ``file_bytes`` of payload each."""
-    marked = materialise(with_revisits(pages, min_bytes), "pages-digested")
-    total = marked.agg(F.coalesce(F.sum(F.when(F.col("first").isNull(), F.col("n_bytes")).otherwise(0) + 600), F.lit(0))).first()[0]
-    files = max(1, -(-total // file_bytes))
-    # round-robin would deal anew if a task is repeated; a hash of the row gives the same files again
-    dealt = marked.repartition(files, F.xxhash64("page_id", "sha1", "url"))
-    dealt.select(records(dealt)).write.option("lineSep", RECORD_END.decode()).option("compression", "gzip").text(folder)
+def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, file_records: int = FILE_RECORDS) -> None:
+    """Write all pages into monolithic ``*.txt.gz`` streams of at most ``file_records`` records each.
+
+    Payloads are shuffled once, by digest, and written where they land.
+    """
+    marked = with_revisits(pages, min_bytes)
+    lines = marked.select(records(marked)).write.option("lineSep", RECORD_END.decode()).option("compression", "gzip")
+    lines.option("maxRecordsPerFile", file_records).text(folder)
 
 
 # ---------------------------------------------------------------- normalising
@@ -244,7 +244,7 @@ def read_archives(archives: DataFrame, folder: str) -> DataFrame:
     return archives.select("archive").repartition("archive").mapInArrow(_read(folder), MADE)
 
 
-def archive_pages(pages: DataFrame, min_bytes: int = 0, file_bytes: int = FILE_BYTES) -> DataFrame:
+def archive_pages(pages: DataFrame, min_bytes: int = 0, file_records: int = FILE_RECORDS) -> DataFrame:
     """Write, normalise and read back all ``pages``: a row for each page with its type, digest and place.
 
     Null html is an empty payload, a null url leaves the header out, a null page id gives a record without an id. Empty
@@ -252,5 +252,5 @@ def archive_pages(pages: DataFrame, min_bytes: int = 0, file_bytes: int = FILE_B
     """
     spark = pages.sparkSession
     base = f"{shared_root(spark)}/doctopics/warc-{uuid.uuid4().hex}"
-    write_archives(pages, f"{base}/streams", min_bytes, file_bytes)
+    write_archives(pages, f"{base}/streams", min_bytes, file_records)
     return read_archives(normalise_archives(spark, f"{base}/streams", f"{base}/archives"), f"{base}/archives")

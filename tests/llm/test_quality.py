@@ -40,7 +40,7 @@ def brute(rows, trusted, buckets, threshold=THRESHOLD):
     raw = Counter(g for _, t in rows for g in grams(t, buckets))
     target = Counter(g for d, t in rows if d in trusted for g in grams(t, buckets))
     r, k = sum(raw.values()) + SMOOTHING * buckets, sum(target.values()) + SMOOTHING * buckets
-    w = {g: math.log((target[g] + SMOOTHING) / k) - math.log((raw[g] + SMOOTHING) / r) for g in raw}
+    w = {g: math.log((target[g] + SMOOTHING) / k) - math.log((raw[g] - 1 + SMOOTHING) / r) for g in raw}
     out = []
     for d, t in rows:
         c, own = counts(t), grams(t, buckets)

@@ -50,7 +50,7 @@ def pages(spark, rows=ROWS):
 
 
 def test_edges(spark):
-    assert result(archive_pages(pages(spark), file_bytes=1_000_000)) == brute([(i, h) for i, _, h in ROWS])
+    assert result(archive_pages(pages(spark), file_records=3)) == brute([(i, h) for i, _, h in ROWS])
     assert archive_pages(pages(spark, [])).count() == 0
 
 
@@ -60,7 +60,7 @@ def test_smaller_payloads_are_responses(spark):
 
 
 def test_normalised_files(spark, tmp_path):
-    write_archives(pages(spark), f"{tmp_path}/in", file_bytes=500_000)
+    write_archives(pages(spark), f"{tmp_path}/in", file_records=2)
     archives = normalise_archives(spark, f"{tmp_path}/in", f"{tmp_path}/out")
     assert archives.count() > 1 and sum(r["records"] for r in archives.collect()) == len(ROWS)
     plain_in, plain_out = Counter(), Counter()
