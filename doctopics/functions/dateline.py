@@ -27,7 +27,7 @@ ANCHORED_RULES = [
     # name, pattern, group of source, group of location
     ("website", rf"{_F}^\s*([A-Za-z]+\.(?:{_TLD}))\s*(.*)$", 1, 2),
     ("abbreviation", rf"{_F}^\s*((?:Calif\.|Flo\.))\s+(.*)$", 2, 1),
-    ("dot", rf"{_F}^\s*((?:{WORD}|-)+\.)(?!\s*(?:{_TLD}){WORD_END})(.*)$", 2, 1),
+    ("dot", rf"{_F}^\s*([\p{{L}}\p{{N}}_-]+\.)(?!\s*(?:{_TLD}){WORD_END})(.*)$", 2, 1),
     ("combo", rf"{_F}^\s*([^\n]+?)\s*\(([^()]+)\)\s*$", 2, 1),
     ("parentheses", rf"{_F}^\s*([A-Z ]+)\s*\(([^)]+)\)", 2, 1),
     ("comma", rf"{_F}^\s*([A-Z ]+),\s*(.+)$", 2, 1),

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from doctopics.constants import ENGLISH_STOP_WORDS
 from doctopics.functions.porter import stem
 from doctopics.functions.text import WORD, WORD_END, WORD_START, squeeze_ws
-from doctopics.runtime import counted_broadcast
+from doctopics.runtime import MAX_BROADCAST_ROWS
 
 # Spoken contractions the word tokeniser splits in two.
 CONTRACTIONS = [("can", "not"), ("gon", "na"), ("got", "ta"), ("wan", "na"), ("lem", "me"), ("gim", "me")]
@@ -65,11 +65,22 @@ def stem_tokens(tokens: Column) -> Column:
 def map_tokens(df: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
     """Replace tokens by the form the lexicon ``(form, lemma)`` gives; unknown tokens stay.
 
-    The lexicon is broadcast after its size has been checked; a larger one is joined by shuffle, where
-    adaptive execution splits the partitions of frequent words.
+    A lexicon of up to ``MAX_BROADCAST_ROWS`` forms is shipped once and looked up within the row: nothing is shuffled. A
+    larger one is joined by shuffle, where adaptive execution splits the partitions of frequent words.
     """
+    side = lexicon.select("form", "lemma").filter("form IS NOT NULL AND lemma IS NOT NULL")
+    rows = side.limit(MAX_BROADCAST_ROWS + 1).collect()
+    if len(rows) <= MAX_BROADCAST_ROWS:
+        known = df.sparkSession.sparkContext.broadcast(dict(rows))
+
+        @F.pandas_udf(T.ArrayType(T.StringType()))
+        def replaced(tokens: pd.Series) -> pd.Series:
+            lemma = known.value
+            return tokens.map(lambda words: [lemma.get(w, w) for w in words], na_action="ignore")
+
+        return df.select(id_col, F.coalesce(replaced(F.col(tokens_col)), F.array().cast("array<string>")).alias(tokens_col))
     long = df.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "form"))
-    mapped = long.join(counted_broadcast(lexicon.select("form", "lemma")), "form", "left")
+    mapped = long.join(side, "form", "left")
     word = F.struct("pos", F.coalesce("lemma", "form").alias("term"))
     ordered = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), word)))
     return mapped.groupBy(id_col).agg(F.transform(ordered, lambda w: w["term"]).alias(tokens_col))

@@ -224,7 +224,7 @@ def noise_clean_v3(spark, sf_dir):
 
 
 _embed = sql_squeeze(sql_drop_words(sql_drop_words(sql_numeric("description"), WEB_TOKENS), WEEKDAYS))
-_embed = f"regexp_replace(lower({_embed}), 'https?://(?:[a-zA-Z0-9!*\\\\(),]|[$-_]|[@.&+])+', ' URL ', 'g')"
+_embed = f"regexp_replace(lower({_embed}), 'https?://[!$-_a-z]+', ' URL ', 'g')"
 _embed = f"regexp_replace({_embed}, '\\S+@\\S+', ' EMAIL ', 'g')"
 
 

@@ -35,7 +35,7 @@ def _news_csv(spark, df, name: str) -> str:
 )
 def read_labelled_csv(spark, sf_dir):
     path = _news_csv(spark, articles(spark, sf_dir), "news")
-    df = labelled.read_labelled_csv(spark, path)
+    df = labelled.read_labelled_csv(spark, path, encoding="UTF-8")
     return df.select("labels", "Title", F.md5("Description").alias("text_md5"))
 
 
@@ -47,7 +47,7 @@ def read_labelled_csv(spark, sf_dir):
 def read_labelled_union(spark, sf_dir):
     split = selection.stratified_split(articles(spark, sf_dir))
     paths = [_news_csv(spark, split.filter(F.col("split") == s), s) for s in ("train", "test")]
-    df = labelled.read_labelled_union(spark, *paths)
+    df = labelled.read_labelled_union(spark, *paths, encoding="UTF-8")
     return df.select("split", "labels", "Title", F.md5("Description").alias("text_md5"))
 
 
@@ -55,7 +55,7 @@ def read_labelled_union(spark, sf_dir):
 def read_second_corpus(spark, sf_dir):
     path = work_path(spark, "second")
     labelled.write_csv(table(spark, sf_dir, "conversations").selectExpr("role AS labels", "text AS data"), path)
-    df = labelled.read_second_corpus(spark, path, "labels string, data string")
+    df = labelled.read_second_corpus(spark, path, "labels string, data string", encoding="UTF-8")
     return df.select("labels", F.md5("data").alias("text_md5"))
 
 

@@ -45,7 +45,7 @@ def read_csv(
     )
 
 
-def write_csv(df: DataFrame, path: str, encoding: str = "ISO-8859-1") -> None:
+def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
     """CSV without an index column. CSV cannot tell an empty text from null; use Parquet where that matters."""
     df.write.options(**CSV_OPTIONS).option("encoding", encoding).option("quoteAll", True).csv(path)
 

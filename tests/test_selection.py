@@ -90,9 +90,9 @@ def test_cache_is_written_once(spark, tmp_path):
 
 
 def test_csv_round_trip(spark, tmp_path):
-    rows = [(1, 'a "q", b', "line\nbreak é"), (2, "", None), (3, " lead ", "back\\slash")]
+    rows = [(1, 'a "q", b', "line\nbreak é ☃"), (2, "", None), (3, " lead ", "back\\slash")]
     df = spark.createDataFrame(rows, labelled.NEWS_SCHEMA)
     labelled.write_csv(df, str(tmp_path / "c"))
-    got = labelled.read_labelled_csv(spark, str(tmp_path / "c")).orderBy("labels").collect()
+    got = labelled.read_labelled_csv(spark, str(tmp_path / "c"), encoding="UTF-8").orderBy("labels").collect()
     # CSV has no way to tell an empty text from a missing one; both come back as null.
     assert [tuple(r) for r in got] == [(a, b or None, c) for a, b, c in rows]

@@ -171,3 +171,21 @@ def test_dateline_column_order(spark):
     out = dateline.dateline_columns(df)
     assert out.columns == ["labels", "source", "location", "title", "description", "doc_id"]
     assert tuple(out.first())[1:5] == ("AP", None, "Up", "text")
+
+
+def test_embed_preprocess_long_address(spark):
+    """The address pattern needs no recursion."""
+    long = "see HTTPS://a.b/" + "x%20(y)*" * 15_000 + " now"
+    df = spark.createDataFrame([(long,), ("https://" + "a" * 100_000 + "|rest of it",), ("b" * 100_000 + " @@x a@ @c d@e",)], "t string")
+    out = [r[0] for r in df.select(text.embed_preprocess(F.col("t"))).collect()]
+    assert out[0].split()[:2] == ["see", "URL"] and out[1].startswith("URL |rest")
+    assert out[2].split()[1:] == ["EMAIL", "a@", "@c", "EMAIL"]
+
+
+def test_url_unquote_matches_the_standard_library(spark):
+    from urllib.parse import unquote
+
+    texts = ["a%20b", "a+b%2Bc", "50% off", "%zz%41", "%C3%A9", "%E9x", "%", "é%C3%A9%2", "%41%", None, "", "plain", "%F0%9F%99%82", "%00"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = {r[0]: r[1] for r in df.select("i", text.url_unquote(F.col("t"))).collect()}
+    assert got == {i: None if t is None else unquote(t) for i, t in enumerate(texts)}
