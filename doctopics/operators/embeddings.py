@@ -78,13 +78,21 @@ def embed_word2vec(
     size: int = 64,
     min_count: int = 2,
     seed: int = 42,
-    max_iter: int = 1,
-    partitions: int = 1,
+    max_iter: int = 5,
+    partitions: int | None = None,
+    max_vocabulary: int = 100_000,
 ):
     """Train word vectors; a document is the mean of its words, so words and documents share one space.
 
+    ``partitions``: tasks that train side by side and are averaged after each pass, as many as the session has cores by
+    default. ``max_vocabulary`` bounds what reaches the driver: ``min_count`` rises until no more words than that have it.
     Returns documents and the table ``(term, vector)``.
     """
+    partitions = partitions or df.sparkSession.sparkContext.defaultParallelism
+    counts = df.select(F.explode(tokens_col).alias("term")).groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
+    beyond = counts.orderBy(F.desc("n")).select("n").offset(max_vocabulary).limit(1).first()
+    if beyond is not None:
+        min_count = beyond["n"] + 1
     model = Word2Vec(
         vectorSize=size, minCount=min_count, seed=seed, maxIter=max_iter, numPartitions=partitions,
         inputCol=tokens_col, outputCol="_w2v",
@@ -132,6 +140,7 @@ def kmeans_elbow(
     restarts: int = 10,
     seed: int = 42,
     parallelism: int = 8,
+    max_iter: int = 300,
 ) -> DataFrame:
     """``(k, sse, silhouette)`` for k = 2..max_k, the best of several restarts each."""
     n, width = df.agg(F.count("*"), F.max(F.size(vector_col))).first()
@@ -140,7 +149,7 @@ def kmeans_elbow(
     scorer = ClusteringEvaluator(featuresCol="features", predictionCol="prediction", distanceMeasure="squaredEuclidean")
 
     def fit(k: int, restart: int):
-        model = KMeans(k=k, seed=seed + restart, featuresCol="features").fit(points)
+        model = KMeans(k=k, seed=seed + restart, maxIter=max_iter, featuresCol="features").fit(points)
         return k, float(model.summary.trainingCost), model
 
     grid = list(product(range(2, max_k + 1), range(restarts)))

@@ -23,22 +23,41 @@ from pyspark.sql import types as T
 from doctopics.operators.terms import Vectorizer, top_rows
 from doctopics.runtime import sized
 
-# Cells of a dense block of rows (16 MB).
+# Filled cells times topics worked on at once (16 MB).
 BLOCK_CELLS = 2_000_000
 
 
-def _dense_blocks(indices: pa.Array, values: pa.Array, width: int) -> Iterator[np.ndarray]:
-    """Sparse rows (Arrow lists of positions and values) as dense blocks in row order."""
+@dataclass(frozen=True)
+class SparseRows:
+    """Some rows of a sparse matrix: positions and values of the filled cells, and where each row starts."""
+
+    at: np.ndarray
+    cells: np.ndarray
+    offsets: np.ndarray
+
+    def times(self, matrix: np.ndarray) -> np.ndarray:
+        """rows x matrix, from the filled cells only."""
+        sums = np.zeros((len(self.at) + 1, matrix.shape[1]))
+        np.cumsum(matrix[self.at] * self.cells[:, None], axis=0, out=sums[1:])
+        return sums[self.offsets[1:]] - sums[self.offsets[:-1]]
+
+    def transposed_times(self, left: np.ndarray, width: int) -> np.ndarray:
+        """left' x rows, by adding up the filled cells of each column."""
+        row = np.repeat(np.arange(len(self.offsets) - 1), np.diff(self.offsets))
+        return np.stack([np.bincount(self.at, self.cells * left[row, t], width) for t in range(left.shape[1])])
+
+
+def _sparse_blocks(indices: pa.Array, values: pa.Array, k: int) -> Iterator[SparseRows]:
+    """Sparse rows (Arrow lists of positions and values) in blocks of bounded work, in row order."""
     offsets = np.concatenate([[0], np.cumsum(pc.list_value_length(indices).to_numpy(zero_copy_only=False))]).astype(int)
     at, cells = indices.flatten().to_numpy(), values.flatten().to_numpy()
-    step = max(1, BLOCK_CELLS // max(width, 1))
-    for start in range(0, len(indices), step):
-        stop = min(start + step, len(indices))
+    start = 0
+    while start < len(indices):
+        most = offsets[start] + BLOCK_CELLS // max(k, 1)
+        stop = max(start + 1, int(np.searchsorted(offsets, most, "right")) - 1)
         lo, hi = offsets[start], offsets[stop]
-        rows = np.repeat(np.arange(stop - start), np.diff(offsets[start : stop + 1]))
-        block = np.zeros((stop - start, width))
-        block[rows, at[lo:hi]] = cells[lo:hi]
-        yield block
+        yield SparseRows(at[lo:hi], cells[lo:hi], offsets[start : stop + 1] - lo)
+        start = stop
 
 
 def _sparse_parts(vector_col: str) -> tuple[Column, Column]:
@@ -46,12 +65,12 @@ def _sparse_parts(vector_col: str) -> tuple[Column, Column]:
     return v["indices"], v["values"]
 
 
-def _row_map(df: DataFrame, vector_col: str, width: int, out_col: str, fn) -> DataFrame:
-    """Apply ``fn(block) -> rows x k`` to the document vectors."""
+def _row_map(df: DataFrame, vector_col: str, matrix: np.ndarray, out_col: str, fn) -> DataFrame:
+    """Apply ``fn`` to the products of the document vectors with ``matrix`` (terms x k)."""
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def compute(indices: pa.Array, values: pa.Array) -> pa.Array:
-        parts = [fn(block) for block in _dense_blocks(indices, values, width)]
+        parts = [fn(rows.times(matrix)) for rows in _sparse_blocks(indices, values, matrix.shape[1])]
         if not parts:
             return pa.array([], type=pa.list_(pa.float64()))
         rows = np.vstack(parts)
@@ -89,7 +108,7 @@ class Projection:
 
     def transform(self, df: DataFrame, vector_col: str = "features", out_col: str = "scores") -> DataFrame:
         directions, offset = self.directions, 0.0 if self.offset is None else self.offset
-        return _row_map(df, vector_col, len(directions), out_col, lambda block: block @ directions - offset)
+        return _row_map(df, vector_col, directions, out_col, lambda product: product - offset)
 
     def loadings(self, spark) -> DataFrame:
         """``(component, term_id, weight)``."""
@@ -133,14 +152,13 @@ def pca_topic_terms(loadings: DataFrame, vectorizer: Vectorizer, n: int = 10) ->
 # ---------------------------------------------------------------- non-negative factorisation
 
 
-def _nonnegative_rows(block: np.ndarray, h: np.ndarray, gram: np.ndarray, sweeps: int) -> np.ndarray:
-    """Cyclic coordinate descent for min ||block - W h||, W >= 0."""
-    target = block @ h.T
+def _nonnegative_rows(target: np.ndarray, gram: np.ndarray, sweeps: int) -> np.ndarray:
+    """Cyclic coordinate descent for min ||X - W h||, W >= 0, from X h' and h h'."""
     w = np.zeros_like(target)
     scale = np.maximum(np.diag(gram), 1e-12)
     for _ in range(sweeps):
         before = w.copy()
-        for t in range(len(h)):
+        for t in range(len(gram)):
             w[:, t] = np.maximum(0.0, w[:, t] - (w @ gram[:, t] - target[:, t]) / scale[t])
         if np.abs(w - before).max(initial=0.0) <= 1e-6 * max(np.abs(w).max(initial=0.0), 1e-12):
             break
@@ -162,7 +180,7 @@ class NmfModel:
         """Non-negative topic weights per document."""
         h = self.h
         gram = h @ h.T
-        return _row_map(df, vector_col, h.shape[1], out_col, lambda block: _nonnegative_rows(block, h, gram, sweeps))
+        return _row_map(df, vector_col, h.T.copy(), out_col, lambda product: _nonnegative_rows(product, gram, sweeps))
 
     def topic_terms(self, spark) -> DataFrame:
         rows = [(t, i, float(w)) for t, row in enumerate(self.h) for i, w in enumerate(row)]
@@ -222,15 +240,15 @@ def nmf_fit(
 
 def _partial_sums(rows: DataFrame, h: np.ndarray, sweeps: int) -> tuple[np.ndarray, np.ndarray]:
     """W'X and W'W for the best W given ``h``."""
-    gram, (k, width) = h @ h.T, h.shape
+    gram, topics, (k, width) = h @ h.T, h.T.copy(), h.shape
     schema = pa.schema([("topic", pa.int32()), ("sums", pa.list_(pa.float64()))])
 
     def partials(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums, seen = np.zeros((k, width + k)), False
         for batch in batches:
-            for block in _dense_blocks(batch.column("indices"), batch.column("values"), width):
-                w = _nonnegative_rows(block, h, gram, sweeps)
-                sums += w.T @ np.hstack([block, w])
+            for block in _sparse_blocks(batch.column("indices"), batch.column("values"), k):
+                w = _nonnegative_rows(block.times(topics), gram, sweeps)
+                sums += np.hstack([block.transposed_times(w, width), w.T @ w])
                 seen = True
         if seen:
             yield pa.RecordBatch.from_arrays([pa.array(range(k), pa.int32()), pa.array(list(sums))], schema=schema)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from itertools import product
 from math import exp
 
-from pyspark.errors import PySparkException
+from pyspark.errors import AnalysisException, IllegalArgumentException
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -16,11 +16,9 @@ from pyspark.sql import functions as F
 from doctopics.operators.coherence import coherence_cv
 from doctopics.operators.evaluation import align_topics, aligned_accuracy, contingency
 from doctopics.operators.terms import Vectorizer, fit_vectorizer, top_rows
-from doctopics.runtime import one_row, run_parallel
+from doctopics.runtime import materialise, one_row, run_parallel
 from doctopics.sources.selection import kfold
 
-# Documents an online update should see at least; larger collections are sampled per iteration.
-MINI_BATCH = 20_000
 DEFAULT_K = 4
 FAILED_SCORE = -1000.0
 
@@ -53,11 +51,16 @@ def lda_fit(
     word_prior: float | None = None,
     seed: int = 42,
     features_col: str = "features",
+    sampling_rate: float = 1.0,
 ) -> TopicModel:
-    """Variational LDA. ``df`` should be persisted: every iteration reads it."""
+    """Variational LDA. ``df`` should be persisted: every iteration reads it.
+
+    ``sampling_rate``: share of the documents the online optimizer draws per iteration, whatever their number. Spark draws
+    with replacement, so an iteration at rate 1 misses some rows by chance; ``optimizer="em"`` reads every row in each.
+    """
     lda = LDA(k=k, maxIter=max_iter, seed=seed, optimizer=optimizer, featuresCol=features_col)
     if optimizer == "online":
-        lda = lda.setSubsamplingRate(min(1.0, max(0.01, MINI_BATCH / max(vectorizer.n_docs, 1))))
+        lda = lda.setSubsamplingRate(sampling_rate)
     if doc_prior is not None:
         lda = lda.setDocConcentration([doc_prior])
     if word_prior is not None:
@@ -131,32 +134,38 @@ def prepare_corpus(
     )
 
 
-def _try(fn):
-    """A failed fit gives no value instead of ending the comparison."""
+def _try(fn, errors: list[str] | None = None):
+    """A fit the data do not allow gives no value instead of ending the comparison; its error is kept.
+
+    Failures of the cluster are no property of a setting and end the run.
+    """
     try:
         return fn()
-    except PySparkException:
+    except (IllegalArgumentException, AnalysisException) as e:
+        if errors is not None:
+            errors.append(str(e)[:500])
         return None
 
 
 def lda_compare_k(
     corpus: Corpus, ks: Sequence[int] = (4, 6, 8), max_iter: int = 20, passes: int = 3, seed: int = 42, parallelism: int = 3
 ) -> DataFrame:
-    """One row per k: held-out perplexity of both flavours and coherence of flavour B; null where a fit failed."""
+    """One row per k: held-out perplexity of both flavours and coherence of flavour B; null, with ``error``, where a fit failed."""
     spark = corpus.texts.sparkSession
 
     def one(k: int) -> tuple:
-        a = _try(lambda: lda_fit(corpus.tfidf_train, corpus.vectorizer, k, max_iter, seed=seed))
-        b = _try(lambda: lda_fit(corpus.bow_train, corpus.vectorizer, k, passes, seed=seed))
-        perplexity_a = a and _try(lambda: lda_perplexity(a, corpus.tfidf_test))
-        perplexity_b = b and _try(lambda: lda_perplexity(b, corpus.bow_test))
+        errors: list[str] = []
+        a = _try(lambda: lda_fit(corpus.tfidf_train, corpus.vectorizer, k, max_iter, seed=seed), errors)
+        b = _try(lambda: lda_fit(corpus.bow_train, corpus.vectorizer, k, passes, seed=seed), errors)
+        perplexity_a = a and _try(lambda: lda_perplexity(a, corpus.tfidf_test), errors)
+        perplexity_b = b and _try(lambda: lda_perplexity(b, corpus.bow_test), errors)
         coherence = b and _try(
-            lambda: coherence_cv(corpus.texts, b.top_terms(spark, 10)).agg(F.avg("coherence")).first()[0]
+            lambda: coherence_cv(corpus.texts, b.top_terms(spark, 10)).agg(F.avg("coherence")).first()[0], errors
         )
-        return k, perplexity_a, perplexity_b, coherence
+        return k, perplexity_a, perplexity_b, coherence, "; ".join(errors) or None
 
     rows = run_parallel([lambda k=k: one(k) for k in ks], parallelism)
-    schema = "n_topics int, sklearn_perplexity double, gensim_perplexity double, gensim_coherence double"
+    schema = "n_topics int, sklearn_perplexity double, gensim_perplexity double, gensim_coherence double, error string"
     return spark.createDataFrame(rows, schema)
 
 
@@ -169,13 +178,13 @@ def select_best_k(comparison: DataFrame, default: int = DEFAULT_K) -> DataFrame:
 def comparison_summary(
     comparison: DataFrame, accuracy: float | None = None, grid: DataFrame | None = None
 ) -> DataFrame:
-    """Best coherence, best perplexity, best k, accuracy and the best grid setting as one row."""
+    """Best coherence, best perplexity, best k, accuracy and the best grid setting (``grid_*``) as one row."""
     best = comparison.agg(
         F.max("gensim_coherence").alias("best_coherence"), F.min("gensim_perplexity").alias("best_perplexity")
     )
     out = one_row(best, select_best_k(comparison))
     out = out.withColumn("accuracy", F.lit(accuracy).cast("double"))
-    return out if grid is None else one_row(out, grid)
+    return out if grid is None else one_row(out, grid.select([F.col(c).alias(f"grid_{c}") for c in grid.columns]))
 
 
 def lda_grid_search(
@@ -254,4 +263,7 @@ def lda_job(
     counts, alignment, accuracy = evaluate_against_labels(model_a, corpus.tfidf_test, values, label_col)
     out.update(contingency=counts, alignment=alignment, accuracy=accuracy)
     out["summary"] = comparison_summary(comparison, accuracy.first()["Aligned_Accuracy"], out.get("grid"))
+    # results that still read the test vectors are computed before those are released
+    out = {name: materialise(df, f"lda-{name}") for name, df in out.items()}
+    corpus.unpersist()
     return out

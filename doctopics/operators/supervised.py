@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.ml import Model, Pipeline, PipelineModel
+from pyspark.ml import Model
 from pyspark.ml.classification import (
     LinearSVC,
     LogisticRegression,
@@ -12,20 +13,21 @@ from pyspark.ml.classification import (
     OneVsRest,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import IndexToString, StringIndexer
+from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doctopics.functions.tokens import ngrams_1_2
 from doctopics.operators.evaluation import classification_report
-from doctopics.operators.factor import lsa_fit, nmf_fit, pca_fit, pca_topic_terms, scores_as_vector
+from doctopics.operators.factor import NmfModel, lsa_fit, nmf_fit, pca_fit, pca_topic_terms, scores_as_vector
 from doctopics.operators.terms import Vectorizer, nested_vectorizers, term_stats
-from doctopics.runtime import run_parallel, sized
+from doctopics.runtime import run_parallel
 
 SEED = 42
-# Relative improvement at which a fit stops; the hinge loss has kinks, so its last digits take long.
+# Relative improvement at which a fit stops.
 TOLERANCE = 1e-4
-HINGE_TOLERANCE = 1e-3
+# Spark's limit on the depth of a tree.
+MAX_DEPTH = 30
 
 
 def clf_logreg(n_rows: int, max_iter: int = 1000) -> LogisticRegression:
@@ -36,14 +38,14 @@ def clf_logreg(n_rows: int, max_iter: int = 1000) -> LogisticRegression:
     )
 
 
-def clf_random_forest(trees: int = 100, max_depth: int = 20) -> RandomForestClassifier:
-    """100 trees; depth is capped (Spark allows at most 30)."""
+def clf_random_forest(trees: int = 100, max_depth: int = MAX_DEPTH) -> RandomForestClassifier:
+    """100 trees, as deep as Spark allows."""
     return RandomForestClassifier(numTrees=trees, maxDepth=max_depth, seed=SEED, labelCol="label_idx", maxMemoryInMB=1024)
 
 
 def clf_linear_svc(n_rows: int, max_iter: int = 1000) -> OneVsRest:
     """Linear SVM, one class against the rest."""
-    svc = LinearSVC(maxIter=max_iter, tol=HINGE_TOLERANCE, regParam=1.0 / n_rows, standardization=False)
+    svc = LinearSVC(maxIter=max_iter, tol=TOLERANCE, regParam=1.0 / n_rows, standardization=False)
     return OneVsRest(classifier=svc, labelCol="label_idx", parallelism=4)
 
 
@@ -77,21 +79,22 @@ def _score(model, train: DataFrame, test: DataFrame) -> float:
     return float(model.fit(train).transform(test).agg(F.avg(hit)).first()[0] or 0.0)
 
 
-def _split(df: DataFrame, split_col: str, width: int) -> tuple[DataFrame, DataFrame, int]:
+def _split(df: DataFrame, split_col: str) -> tuple[DataFrame, DataFrame, int]:
     """Persisted train and test features and the number of training rows."""
-    parts = [df.filter(F.col(split_col) == s).select("features", "label_idx") for s in ("train", "test")]
+    parts = [df.filter(F.col(split_col) == s).select("features", "label_idx").persist() for s in ("train", "test")]
+    train, test = parts
+    # counting fills the cache before fits run side by side on it
     counts = [p.count() for p in parts]
-    train, test = (sized(p, n, 8 * width).persist() for p, n in zip(parts, counts))
     return train, test, counts[0]
 
 
 def accuracy_rows(
-    settings: Sequence[tuple[tuple, DataFrame, int]], split_col: str, bayes: str, parallelism: int
+    settings: Sequence[tuple[tuple, DataFrame]], split_col: str, bayes: str, parallelism: int
 ) -> list[tuple]:
-    """Test accuracy of four classifiers per setting ``(key, features, width)``; all fits share one pool."""
-    parts = [_split(df, split_col, width) for _, df, width in settings]
+    """Test accuracy of four classifiers per setting ``(key, features)``; all fits share one pool."""
+    parts = [_split(df, split_col) for _, df in settings]
     tasks, keys = [], []
-    for (key, _, _), (train, test, n) in zip(settings, parts):
+    for (key, _), (train, test, n) in zip(settings, parts):
         for name, model in classifiers(n, bayes).items():
             keys.append((*key, name))
             tasks.append(lambda m=model, a=train, b=test: _score(m, a, b))
@@ -128,7 +131,7 @@ def experiment_nmf(
     settings = []
     for k in components:
         model = nmf_fit(train, k, vectorizer.size, max_iter, svd=svd)
-        settings.append(((k,), scores_as_vector(model.transform(vectors).drop("features")), k))
+        settings.append(((k,), scores_as_vector(model.transform(vectors).drop("features"))))
     rows = accuracy_rows(settings, split_col, "gaussian", parallelism)
     vectors.unpersist()
     return df.sparkSession.createDataFrame(rows, "n_components int, Classifier string, Accuracy double")
@@ -149,9 +152,11 @@ def experiment_lsa(
     rows = []
     for m in max_features:
         vectors = sizes[m].tfidf(df).drop("tokens").persist()
+        vectors.count()
         svd = lsa_fit(_fit_rows(vectors, fit_scope, split_col), min(max(components), sizes[m].size - 1))
         scored = svd.transform(vectors).drop("features").persist()
-        settings = [((m, k), scores_as_vector(scored, k), k) for k in components]
+        scored.count()
+        settings = [((m, k), scores_as_vector(scored, k)) for k in components]
         rows += accuracy_rows(settings, split_col, "gaussian", parallelism)
         scored.unpersist()
         vectors.unpersist()
@@ -189,7 +194,7 @@ def experiment_bow_tfidf(
             for ngram in nested:
                 vectorizer: Vectorizer = nested[ngram][m]
                 vectors = vectorizer.counts(df) if method == "BoW" else vectorizer.tfidf(df)
-                settings.append(((method, m, ngram), vectors, vectorizer.size))
+                settings.append(((method, m, ngram), vectors))
         rows += accuracy_rows(settings, split_col, "multinomial", parallelism)
     schema = "Method string, max_features int, ngram_range string, Classifier string, Accuracy double"
     return df.sparkSession.createDataFrame(rows, schema)
@@ -210,7 +215,7 @@ def experiment_pca(
     vectors = vectorizer.tfidf(df).drop("tokens").persist()
     pca = pca_fit(_fit_rows(vectors, fit_scope, split_col), k)
     topics = pca_topic_terms(pca.loadings(df.sparkSession), vectorizer)
-    train, test, n = _split(scores_as_vector(pca.transform(vectors).drop("features")), split_col, k)
+    train, test, n = _split(scores_as_vector(pca.transform(vectors).drop("features")), split_col)
     models = classifiers(n)
 
     def predict(name: str) -> DataFrame:
@@ -226,14 +231,39 @@ def experiment_pca(
     return topics, classification_report(named, by=["Classifier"])
 
 
-def fit_predictor(train: DataFrame, stages: Sequence, classifier, label_col: str = "labels") -> PipelineModel:
-    """Features, classifier and the way back to label names as one fitted model."""
-    indexer = StringIndexer(inputCol=label_col, outputCol="label_idx", stringOrderType="alphabetAsc", handleInvalid="keep").fit(train)
-    back = IndexToString(inputCol="prediction", outputCol="Predicted Class Index", labels=list(indexer.labels))
-    return Pipeline(stages=[*stages, indexer, classifier, back]).fit(train)
+@dataclass(frozen=True)
+class TopicPredictor:
+    """TF-IDF, NMF weights and a classifier, fitted together; scores rows that only have tokens."""
+
+    vectorizer: Vectorizer
+    topics: NmfModel
+    classifier: Model
+    names: list[str]
+
+    def transform(self, df: DataFrame, out_col: str = "Predicted Class Index") -> DataFrame:
+        """``df`` (``tokens`` and more) with the name of the predicted class."""
+        weights = scores_as_vector(self.topics.transform(self.vectorizer.tfidf(df)).drop("features"))
+        scored = self.classifier.transform(weights)
+        name = F.get(F.array(*map(F.lit, self.names)), F.col("prediction").cast("int"))
+        return scored.withColumn(out_col, name).select(*df.columns, out_col)
+
+
+def fit_predictor(
+    train: DataFrame, k: int = 32, max_features: int = 1000, max_iter: int = 200, label_col: str = "labels"
+) -> TopicPredictor:
+    """Fit on training rows (``tokens`` and a label) only; vocabulary, idf, topics and penalty all come from them."""
+    indexed, names = with_label_index(train, label_col)
+    n = train.count()
+    vectorizer = nested_vectorizers(term_stats(train), [max_features], n)[max_features]
+    vectors = vectorizer.tfidf(indexed).drop("tokens").persist()
+    topics = nmf_fit(vectors, k, vectorizer.size, max_iter)
+    weights = scores_as_vector(topics.transform(vectors).drop("features")).select("features", "label_idx").persist()
+    classifier = clf_logreg(n).fit(weights)
+    weights.unpersist()
+    vectors.unpersist()
+    return TopicPredictor(vectorizer, topics, classifier, names)
 
 
-def predict_new(model: Model, df: DataFrame) -> DataFrame:
+def predict_new(model: TopicPredictor, df: DataFrame) -> DataFrame:
     """Score unseen rows; the label name is in ``Predicted Class Index``."""
     return model.transform(df)
-

@@ -7,6 +7,7 @@ __all__ = ["ORACLES", "QUERIES", "load_all"]
 
 def load_all() -> None:
     from doctopics.plans import (  # noqa: F401
+        check_queries,
         cleaning_queries,
         comparison_queries,
         evaluation_queries,

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from doctopics.operators import comparison as cmp
 from doctopics.operators import evaluation as ev
 from doctopics.operators import terms
-from doctopics.plans.base import V_ASSIGN, assignments, r6, register, tokens
+from doctopics.plans.base import V_ASSIGN, WORDS_CTE, assignments, documents, r6, register, tokens
 from doctopics.plans.evaluation_queries import METRICS, SCORE_NAMES, TOPIC_WORDS, topic_words
 from doctopics.plans.term_queries import FULL
 
@@ -73,11 +73,16 @@ def final_comparison(spark, sf_dir):
     return table.select("Model", *[r6(f"`{n}`", n) for n in numbers])
 
 
-@register("job_runs")
+@register(
+    "job_runs",
+    f"""WITH {WORDS_CTE} SELECT 'term_frequency' AS job, count(DISTINCT term) AS rows FROM words
+    UNION ALL SELECT 'clustering_scores', 3
+    UNION ALL SELECT 'documents', count(*) FROM documents""",
+)
 def job_runs(spark, sf_dir):
     jobs = {
         "term_frequency": lambda: terms.term_frequency(tokens(spark, sf_dir)),
         "clustering_scores": lambda: ev.clustering_scores(ev.contingency(assignments(spark, sf_dir), by=["model"]), ["model"]),
-        "topic_words": lambda: topic_words(spark, sf_dir),
+        "documents": lambda: documents(spark, sf_dir),
     }
-    return cmp.job_runs(spark, jobs)
+    return cmp.job_runs(spark, jobs).select("job", "rows")

@@ -97,15 +97,15 @@ def doc_topic_dist(spark, sf_dir):
 
 @register(
     "dominant_topic",
-    """WITH d AS (SELECT vec_id, [abs(CAST(embedding[1] AS DOUBLE)), abs(CAST(embedding[2] AS DOUBLE)),
-        abs(CAST(embedding[3] AS DOUBLE)), abs(CAST(embedding[4] AS DOUBLE))] AS v FROM embeddings),
+    """WITH d AS (SELECT vec_id, list_transform(embedding, lambda x: abs(CAST(x AS DOUBLE))) AS v FROM embeddings),
     p AS (SELECT vec_id, list_transform(v, lambda x: x / list_sum(v)) AS v FROM d)
     SELECT vec_id, CAST(list_position(v, list_max(v)) AS INT) AS topic, round(list_max(v), 6) AS confidence FROM p""",
 )
 def dominant_topic(spark, sf_dir):
-    parts = [F.abs(F.col("embedding")[i].cast("double")) for i in range(4)]
-    total = parts[0] + parts[1] + parts[2] + parts[3]
-    df = table(spark, sf_dir, "embeddings").select("vec_id", F.array(*[p / total for p in parts]).alias("distribution"))
+    sizes = F.transform("embedding", lambda x: F.abs(x.cast("double")))
+    df = table(spark, sf_dir, "embeddings").select("vec_id", sizes.alias("v"))
+    df = df.withColumn("t", F.aggregate("v", F.lit(0.0), lambda a, x: a + x))
+    df = df.select("vec_id", F.transform("v", lambda x: x / F.col("t")).alias("distribution"))
     return lda.dominant_topic(df, base=1).select("vec_id", "topic", r6("confidence", "confidence"))
 
 
@@ -121,22 +121,47 @@ def lda_compare_k(spark, sf_dir):
     return lda.lda_compare_k(lda.prepare_corpus(labelled(spark, sf_dir)))
 
 
+@register(
+    "lda_invariants",
+    """SELECT 'topic weights sum to one' AS claim, true AS holds UNION ALL SELECT 'document shares sum to one', true
+    UNION ALL SELECT 'every document has a distribution', true UNION ALL SELECT 'perplexity is finite and above one', true""",
+)
+def lda_invariants(spark, sf_dir):
+    """What must hold of the model that the trained LDA queries use."""
+    fitted, vectors = train_tfidf(spark, sf_dir, 5000)
+    model = lda.lda_fit(_train(vectors), fitted)
+    sums = model.topic_terms(spark).groupBy("topic").agg(F.sum("weight").alias("s"))
+    dist = lda.doc_topic_dist(model, vectors).select(F.aggregate("distribution", F.lit(0.0), lambda a, x: a + x).alias("s"))
+    whole = F.every(F.abs(F.col("s") - 1) < 1e-9)
+    perplexity = lda.lda_perplexity(model, _train(vectors))
+    rows = [
+        ("topic weights sum to one", sums.agg(whole).first()[0]),
+        ("document shares sum to one", dist.filter("s > 0").agg(whole).first()[0]),
+        ("every document has a distribution", dist.count() == vectors.count()),
+        ("perplexity is finite and above one", 1 < perplexity < float("inf")),
+    ]
+    vectors.unpersist()
+    return spark.createDataFrame(rows, "claim string, holds boolean")
+
+
 # A comparison table derived from the vectors: one row per label, one of them without coherence.
-CURVE = """SELECT label + 2 AS n_topics, avg(abs(CAST(embedding[1] AS DOUBLE))) AS sklearn_perplexity,
-    avg(abs(CAST(embedding[2] AS DOUBLE))) AS gensim_perplexity,
-    CASE WHEN label <> 3 THEN avg(CAST(embedding[3] AS DOUBLE)) END AS gensim_coherence FROM embeddings GROUP BY label"""
+CURVE = """SELECT label + 2 AS n_topics, avg(abs(CAST(x AS DOUBLE))) AS sklearn_perplexity,
+    avg(CAST(x AS DOUBLE) * x) AS gensim_perplexity,
+    CASE WHEN label <> 3 THEN avg(CAST(x AS DOUBLE)) END AS gensim_coherence
+    FROM (SELECT label, unnest(embedding) AS x FROM embeddings) GROUP BY label"""
 BEST_K = "coalesce((SELECT n_topics FROM c WHERE gensim_coherence IS NOT NULL ORDER BY gensim_coherence DESC, n_topics LIMIT 1), 4)"
 
 
 def _comparison(spark, sf_dir):
-    e = [F.col("embedding")[i].cast("double") for i in range(3)]
+    x = F.col("x").cast("double")
     return (
         table(spark, sf_dir, "embeddings")
+        .select("label", F.explode("embedding").alias("x"))
         .groupBy("label")
         .agg(
-            F.avg(F.abs(e[0])).alias("sklearn_perplexity"),
-            F.avg(F.abs(e[1])).alias("gensim_perplexity"),
-            F.avg(F.when(F.col("label") != 3, e[2])).alias("gensim_coherence"),
+            F.avg(F.abs(x)).alias("sklearn_perplexity"),
+            F.avg(x * x).alias("gensim_perplexity"),
+            F.avg(F.when(F.col("label") != 3, x)).alias("gensim_coherence"),
         )
         .withColumn("n_topics", F.col("label") + 2)
     )
@@ -307,14 +332,15 @@ def experiment_pca(spark, sf_dir):
     return report
 
 
+def predicted(spark, sf_dir):
+    df = labelled(spark, sf_dir).withColumn("labels", F.col("labels").cast("string"))
+    model = supervised.fit_predictor(df.filter("split = 'train'"))
+    return supervised.predict_new(model, df.filter("split = 'test'"))
+
+
 @register("predict_new")
 def predict_new(spark, sf_dir):
-    from pyspark.ml.feature import CountVectorizer, IDF
-
-    df = labelled(spark, sf_dir).withColumn("labels", F.col("labels").cast("string"))
-    stages = [CountVectorizer(inputCol="tokens", outputCol="tf", vocabSize=1000), IDF(inputCol="tf", outputCol="features")]
-    model = supervised.fit_predictor(df.filter("split = 'train'"), stages, supervised.clf_logreg(df.count()))
-    return supervised.predict_new(model, df.filter("split = 'test'")).select("doc_id", "labels", "Predicted Class Index")
+    return predicted(spark, sf_dir).select("doc_id", "labels", "Predicted Class Index")
 
 
 # ---------------------------------------------------------------- accuracy reports over a fixed results table

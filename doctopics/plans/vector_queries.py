@@ -119,8 +119,8 @@ def assignment_quality(spark, sf_dir):
     return out.select("documents", "assigned", r6("mean_score", "mean_score"), r6("median_score", "median_score"))
 
 
-CURVE = """SELECT label + 2 AS k, sum(CAST(embedding[1] AS DOUBLE) * embedding[1]) AS sse, avg(CAST(embedding[2] AS DOUBLE)) AS silhouette
-    FROM embeddings GROUP BY label"""
+CURVE = """SELECT label + 2 AS k, sum(CAST(x AS DOUBLE) * x) AS sse, avg(CAST(x AS DOUBLE)) AS silhouette
+    FROM (SELECT label, unnest(embedding) AS x FROM embeddings) GROUP BY label"""
 
 
 @register(
@@ -130,11 +130,12 @@ CURVE = """SELECT label + 2 AS k, sum(CAST(embedding[1] AS DOUBLE) * embedding[1
         (SELECT k FROM b ORDER BY silhouette DESC, k LIMIT 1) AS best_silhouette_k""",
 )
 def elbow_point(spark, sf_dir):
-    x, y = F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")
+    x = F.col("x").cast("double")
     curve = (
         table(spark, sf_dir, "embeddings")
+        .select("label", F.explode("embedding").alias("x"))
         .groupBy((F.col("label") + 2).alias("k"))
-        .agg(F.sum(x * x).alias("sse"), F.avg(y).alias("silhouette"))
+        .agg(F.sum(x * x).alias("sse"), F.avg(x).alias("silhouette"))
     )
     return emb.elbow_point(curve)
 

@@ -302,3 +302,31 @@ def test_gaussian_features_as_vectors(spark):
 def test_job_runs(spark):
     rows = cmp.job_runs(spark, {"a": lambda: spark.range(7), "b": lambda: spark.range(0)}).collect()
     assert [(r["job"], r["rows"]) for r in rows] == [("a", 7), ("b", 0)]
+
+
+def test_lda_reads_every_document(spark):
+    """No size decides how many rows a fit reads: a word only 20,500 later rows hold is learned as well."""
+    rows = [(i, ["early", "plain"] if i < 20_500 else ["late", "other"]) for i in range(41_000)]
+    df = spark.createDataFrame(rows, "doc_id long, tokens array<string>")
+    fitted = terms.fit_vectorizer(df, 10)
+    model = lda.lda_fit(fitted.counts(df).persist(), fitted, 2, 3)
+    weights = {r["term"]: r["w"] for r in fitted.with_terms(model.topic_terms(spark)).groupBy("term").agg(F.max("weight").alias("w")).collect()}
+    assert set(weights) == {"early", "plain", "late", "other"} and min(weights.values()) > 0.2
+
+
+def test_missing_shared_folder_is_an_error(spark, monkeypatch):
+    class Bare:
+        conf = type("c", (), {"get": staticmethod(lambda key, default=None: default)})
+        sparkContext = type("s", (), {"getCheckpointDir": staticmethod(lambda: None)})
+
+    from doctopics.runtime import shared_root
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_root(Bare)
+
+
+def test_summary_with_grid_has_distinct_columns(spark):
+    row = spark.createDataFrame([(4, 2.0, 3.0, 0.5)], "n_topics int, sklearn_perplexity double, gensim_perplexity double, gensim_coherence double")
+    grid = spark.createDataFrame([(4, 1.0, 1.0, 9.0)], "n_components int, doc_topic_prior double, topic_word_prior double, best_perplexity double")
+    out = lda.comparison_summary(row, 0.5, grid).first().asDict()
+    assert out["best_perplexity"] == 3.0 and out["grid_best_perplexity"] == 9.0 and out["grid_n_components"] == 4
