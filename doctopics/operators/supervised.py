@@ -21,7 +21,7 @@ from doctopics.functions.tokens import ngrams_1_2
 from doctopics.operators.evaluation import classification_report
 from doctopics.operators.factor import NmfModel, lsa_fit, nmf_fit, pca_fit, pca_topic_terms, scores_as_vector
 from doctopics.operators.terms import Vectorizer, nested_vectorizers, term_stats
-from doctopics.runtime import run_parallel
+from doctopics.runtime import run_parallel, sized
 
 SEED = 42
 # Relative improvement at which a fit stops.
@@ -79,22 +79,26 @@ def _score(model, train: DataFrame, test: DataFrame) -> float:
     return float(model.fit(train).transform(test).agg(F.avg(hit)).first()[0] or 0.0)
 
 
-def _split(df: DataFrame, split_col: str) -> tuple[DataFrame, DataFrame, int]:
+def _split(df: DataFrame, split_col: str, width: int) -> tuple[DataFrame, DataFrame, int]:
     """Persisted train and test features and the number of training rows."""
     parts = [df.filter(F.col(split_col) == s).select("features", "label_idx").persist() for s in ("train", "test")]
-    train, test = parts
-    # counting fills the cache before fits run side by side on it
     counts = [p.count() for p in parts]
+    train, test = (sized(p, n, 8 * width).persist() for p, n in zip(parts, counts))
+    # fill the caches before fits run side by side on them
+    for kept, first in zip((train, test), parts):
+        kept.count()
+        if kept is not first:
+            first.unpersist()
     return train, test, counts[0]
 
 
 def accuracy_rows(
-    settings: Sequence[tuple[tuple, DataFrame]], split_col: str, bayes: str, parallelism: int
+    settings: Sequence[tuple[tuple, DataFrame, int]], split_col: str, bayes: str, parallelism: int
 ) -> list[tuple]:
-    """Test accuracy of four classifiers per setting ``(key, features)``; all fits share one pool."""
-    parts = [_split(df, split_col) for _, df in settings]
+    """Test accuracy of four classifiers per setting ``(key, features, width)``; all fits share one pool."""
+    parts = [_split(df, split_col, width) for _, df, width in settings]
     tasks, keys = [], []
-    for (key, _), (train, test, n) in zip(settings, parts):
+    for (key, _, _), (train, test, n) in zip(settings, parts):
         for name, model in classifiers(n, bayes).items():
             keys.append((*key, name))
             tasks.append(lambda m=model, a=train, b=test: _score(m, a, b))
@@ -131,7 +135,7 @@ def experiment_nmf(
     settings = []
     for k in components:
         model = nmf_fit(train, k, vectorizer.size, max_iter, svd=svd)
-        settings.append(((k,), scores_as_vector(model.transform(vectors).drop("features"))))
+        settings.append(((k,), scores_as_vector(model.transform(vectors).drop("features")), k))
     rows = accuracy_rows(settings, split_col, "gaussian", parallelism)
     vectors.unpersist()
     return df.sparkSession.createDataFrame(rows, "n_components int, Classifier string, Accuracy double")
@@ -156,7 +160,7 @@ def experiment_lsa(
         svd = lsa_fit(_fit_rows(vectors, fit_scope, split_col), min(max(components), sizes[m].size - 1))
         scored = svd.transform(vectors).drop("features").persist()
         scored.count()
-        settings = [((m, k), scores_as_vector(scored, k)) for k in components]
+        settings = [((m, k), scores_as_vector(scored, k), k) for k in components]
         rows += accuracy_rows(settings, split_col, "gaussian", parallelism)
         scored.unpersist()
         vectors.unpersist()
@@ -194,7 +198,7 @@ def experiment_bow_tfidf(
             for ngram in nested:
                 vectorizer: Vectorizer = nested[ngram][m]
                 vectors = vectorizer.counts(df) if method == "BoW" else vectorizer.tfidf(df)
-                settings.append(((method, m, ngram), vectors))
+                settings.append(((method, m, ngram), vectors, vectorizer.size))
         rows += accuracy_rows(settings, split_col, "multinomial", parallelism)
     schema = "Method string, max_features int, ngram_range string, Classifier string, Accuracy double"
     return df.sparkSession.createDataFrame(rows, schema)
@@ -215,7 +219,7 @@ def experiment_pca(
     vectors = vectorizer.tfidf(df).drop("tokens").persist()
     pca = pca_fit(_fit_rows(vectors, fit_scope, split_col), k)
     topics = pca_topic_terms(pca.loadings(df.sparkSession), vectorizer)
-    train, test, n = _split(scores_as_vector(pca.transform(vectors).drop("features")), split_col)
+    train, test, n = _split(scores_as_vector(pca.transform(vectors).drop("features")), split_col, k)
     models = classifiers(n)
 
     def predict(name: str) -> DataFrame:

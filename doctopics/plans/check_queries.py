@@ -106,7 +106,7 @@ def classifier_check(spark, sf_dir):
     fitted = terms.fit_vectorizer(_train(df), 500)
     vectors = fitted.tfidf(df).drop("tokens").persist()
     n = _train(vectors).count()
-    models = {"forest": supervised.clf_random_forest(), "logreg": supervised.clf_logreg(n), "svc": supervised.clf_linear_svc(n)}
+    models = {"forest": supervised.clf_random_forest(trees=20), "logreg": supervised.clf_logreg(n), "svc": supervised.clf_linear_svc(n)}
     right = F.get(F.array(*map(F.lit, names)), F.col("prediction").cast("int")).cast("int") == F.col("labels")
     held = vectors.filter("split = 'test'")
     out = predicted(spark, sf_dir)
