@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from doctopics.llm.base import let
+from doctopics.llm.base import let, materialise
 
 WORD = r"[^\x20\x09-\x0D]+"
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
@@ -106,7 +106,8 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, max_
     # at most max_trusted ids
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id", "left")
     grams = marked.select("_t", F.explode(gram_buckets(F.coalesce("text", F.lit("")), buckets)).alias("bucket"))
-    counts = grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_t").alias("target"))
+    # written once, or the texts would be read again for the totals
+    counts = materialise(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_t").alias("target")), "buckets")
     totals = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("r"), F.coalesce(F.sum("target"), F.lit(0)).alias("t")).first()
     room = SMOOTHING * buckets
     target = F.log((F.col("target") + SMOOTHING) / F.lit(totals["t"] + room))
