@@ -6,12 +6,17 @@ where all bytes that the longer one has seen are excluded. Below order 0 all byt
 start after ``order`` bytes 0xFF and end with one, which UTF-8 does not use. A text is its words in lower case (A-Z), joined by one space.
 
 Training counts all n-grams of ``order + 1`` bytes of all training texts on the executors; shorter ones are sums over
-their endings. The trie keeps the n-grams that make up at least ``share`` of the training bytes: at most ``1 / share`` of
-each length, whatever the size of the corpus, which bounds what is broadcast. An n-gram is at most as frequent as its
-ending, so every kept node's shorter contexts are kept and exclusion needs two sums per context.
+their endings. All of them predict. The longest ones that make up at least ``SHARE`` of the training bytes (at most
+``1 / SHARE``) are broadcast with their probabilities; the other codes of a document are joined by hash with the table of
+all longest n-grams, and codes that it does not hold walk down the orders by joins with the counts of their endings and the
+sums of their contexts. No key of those joins is hot: a context has at most 256 bytes after it and an ending 256 before it.
 
-The word base beside it uses exact counts of all words. Counts of words with at least ``share`` of all tokens (at most
-``1 / share``) are broadcast; the others are joined by hash, none of which can be a hot key.
+With a ``share`` above 0 the model is cut instead: only n-grams of at least that share predict, from a broadcast trie. An
+n-gram is at most as frequent as its ending, so every kept node's shorter contexts are kept and exclusion needs two sums
+per context.
+
+The word base beside it uses exact counts of all words. Counts of words with at least ``SHARE`` of all tokens (at most
+``1 / SHARE``) are broadcast; the others are joined by hash, none of which can be a hot key.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from doctopics.llm.base import materialise
 from doctopics.llm.text import ASCII_LOWER, flat, mix, owners, pieces, signed, span_hashes, word_spans
@@ -144,6 +150,27 @@ class Trie:
         return out
 
 
+@dataclass(frozen=True)
+class Frequent:
+    """Codes of the longest n-grams that are broadcast, and their log probabilities."""
+
+    codes: np.ndarray
+    logs: np.ndarray
+
+
+def _lookup(of: Trie | Frequent):
+    """Log probabilities of codes and which of them are known here; the others are 0."""
+    if isinstance(of, Trie):
+        return lambda codes: (of.log10(codes), np.ones(len(codes), bool))
+    slots, logs = Slots(of.codes), np.append(of.logs, 0.0)
+
+    def find(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        place = slots.find(codes)
+        return logs[place], place >= 0
+
+    return find
+
+
 def stream(data: np.ndarray, offs: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Code of each predicted byte (all bytes and one end per text) with its context, and the n + 1 offsets."""
     n = len(offs) - 1
@@ -262,9 +289,15 @@ def _count(order: int):
 
 @dataclass(frozen=True)
 class Model:
-    """Trie, exact word counts and how much they were learned from."""
+    """What predicts bytes, exact word counts and how much they were learned from.
+
+    ``grams`` (``o``, ``code``, ``n``) are the counts of all n-grams, ``longest`` (``code``, ``n``, ``p``) the longest with
+    their log probabilities; both are None if ``near`` is a trie, which needs no others.
+    """
 
-    trie: Trie
+    near: Trie | Frequent
+    grams: DataFrame | None
+    longest: DataFrame | None
     order: int
     counts: DataFrame
     tokens: int
@@ -278,8 +311,12 @@ def _by_order(counts: DataFrame, order: int) -> list[tuple[np.ndarray, np.ndarra
     return [(code[o == k].astype(np.uint64), n[o == k]) for k in range(order + 1)]
 
 
-def fit(texts: DataFrame, order: int = ORDER, share: float = SHARE) -> Model:
-    """Learn from the column ``text`` of all rows."""
+def _masks(order: int) -> Column:
+    return F.array(*[F.struct(F.lit(o).alias("o"), F.lit((1 << 8 * (o + 1)) - 1).alias("mask")) for o in range(order + 1)])
+
+
+def fit(texts: DataFrame, order: int = ORDER, share: float = 0.0) -> Model:
+    """Learn from the column ``text`` of all rows; a ``share`` above 0 leaves rarer n-grams out of the model."""
     if not 1 <= order <= 6:
         raise ValueError("order must be 1 to 6")
     raw = texts.select("text").mapInArrow(_count(order), "kind int, code long, n long")
@@ -287,51 +324,69 @@ def fit(texts: DataFrame, order: int = ORDER, share: float = SHARE) -> Model:
     sums = {r["kind"]: r for r in counts.groupBy("kind").agg(F.sum("n").alias("n"), F.count("*").alias("types")).collect()}
     symbols = sums[NGRAM]["n"] if NGRAM in sums else 0
     tokens, types = (sums[WORD]["n"], sums[WORD]["types"]) if WORD in sums else (0, 0)
-    masks = F.array(*[F.struct(F.lit(o).alias("o"), F.lit((1 << 8 * (o + 1)) - 1).alias("mask")) for o in range(order + 1)])
-    grams = counts.filter(F.col("kind") == NGRAM).select("code", "n", F.explode(masks).alias("m"))
+    grams = counts.filter(F.col("kind") == NGRAM).select("code", "n", F.explode(_masks(order)).alias("m"))
     grams = grams.groupBy("m.o", F.col("code").bitwiseAND(F.col("m.mask")).alias("code")).agg(F.sum("n").alias("n"))
     grams = materialise(grams, "grams")
-    # at most 1 / share of each length reach that count, so what is collected is bounded
-    least = max(1.0, symbols * share)
-    kept = grams.filter(F.col("n") >= least)
-    contexts = grams.groupBy("o", F.shiftright("code", 8).alias("code")).agg(F.sum("n").alias("n"), F.max("n").alias("most"))
-    nodes = _by_order(kept, order)
-    trie = Trie([c for c, _ in nodes], [n for _, n in nodes], _by_order(contexts.filter(F.col("most") >= least), order))
+    longest = None
+    if share > 0:
+        # at most 1 / share of each length reach that count, so what is collected is bounded
+        least = max(1.0, symbols * share)
+        contexts = grams.groupBy("o", F.shiftright("code", 8).alias("code")).agg(F.sum("n").alias("n"), F.max("n").alias("most"))
+        nodes = _by_order(grams.filter(F.col("n") >= least), order)
+        near = Trie([c for c, _ in nodes], [n for _, n in nodes], _by_order(contexts.filter(F.col("most") >= least), order))
+        grams = None
+    else:
+        context = Window.partitionBy(F.shiftright("code", 8))  # at most 256 rows
+        p = F.log10(F.col("n") / (F.sum("n").over(context) + F.count("*").over(context)))
+        longest = counts.filter(F.col("kind") == NGRAM).select("code", "n").withColumn("p", p)
+        longest = materialise(longest, "longest")
+        # at most 1 / SHARE n-grams
+        often = longest.filter(F.col("n") >= max(1.0, symbols * SHARE)).select("code", "p").toArrow()
+        near = Frequent(often.column(0).to_numpy().astype(np.uint64), often.column(1).to_numpy())
     words = counts.filter(F.col("kind") == WORD).select("code", "n")
-    most = words.filter(F.col("n") >= max(1.0, tokens * share)).toArrow()
+    most = words.filter(F.col("n") >= max(1.0, tokens * SHARE)).toArrow()
     codes, n = most.column(0).to_numpy().astype(np.int64).view(np.uint64), most.column(1).to_numpy()
     sort = np.argsort(codes)
-    return Model(trie, order, words, tokens, types, (codes[sort], n[sort]))
+    return Model(near, grams, longest, order, words, tokens, types, (codes[sort], n[sort]))
 
 
 # ---------------------------------------------------------------- scoring
 
 
+def _tallied(doc: np.ndarray, codes: np.ndarray, n: int) -> tuple[pa.ListArray, pa.ListArray]:
+    """The different codes of each of ``n`` documents and how often they occur there."""
+    order = np.lexsort((codes, doc))
+    doc, codes = doc[order], codes[order]
+    new = np.ones(len(codes), bool)
+    new[1:] = (codes[1:] != codes[:-1]) | (doc[1:] != doc[:-1])
+    at = np.flatnonzero(new)
+    cuts = pa.array(np.searchsorted(doc[at], np.arange(n + 1)).astype(np.int32))
+    times = np.diff(np.append(at, len(codes))).astype(np.int32)
+    return pa.ListArray.from_arrays(cuts, pa.array(signed(codes[at]))), pa.ListArray.from_arrays(cuts, pa.array(times))
+
+
 def _score(model, order: int, tokens: int, types: int):
-    """Per document: tokens, those of common words and their base, the rest as hashes with counts, and the score."""
+    """Per document: tokens, base and score of what is broadcast, the other words and n-grams as codes with counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, known, counts = model.value
+        near, known, counts = model.value
+        find = _lookup(near)
         slots = Slots(known)
         common_log = np.log10((counts + 0.5) / (tokens + 0.5 * (types + 1)))
         for part in pieces(batches, most=1 << 20):
             data, offs = _lowered(part)
             n = part.num_rows
             codes, upto = stream(data, offs, order)
-            score = np.add.reduceat(trie.log10(codes), upto[:-1])
+            logs, found = find(codes)
+            score = np.add.reduceat(logs, upto[:-1])
+            odd, odd_times = _tallied(owners(upto)[~found], codes[~found], n)
             starts, ends, word_offs = word_spans(data, offs)
             hashes = np.concatenate([span_hashes(data, starts, ends), END_WORD.repeat(n)])
             doc = np.concatenate([owners(word_offs), np.arange(n)])
             place = slots.find(hashes)
             hit = place >= 0
             base = np.bincount(doc[hit], weights=common_log[place[hit]], minlength=n) if len(known) else np.zeros(n)
-            rare_doc, rare = doc[~hit], hashes[~hit]
-            order_ = np.lexsort((rare, rare_doc))
-            rare_doc, rare = rare_doc[order_], rare[order_]
-            new = np.ones(len(rare), bool)
-            new[1:] = (rare[1:] != rare[:-1]) | (rare_doc[1:] != rare_doc[:-1])
-            at = np.flatnonzero(new)
-            cuts = pa.array(np.searchsorted(rare_doc[at], np.arange(n + 1)).astype(np.int32))
+            rare, times = _tallied(doc[~hit], hashes[~hit], n)
             yield pa.record_batch(
                 [
                     part.column("doc_id"),
@@ -340,23 +395,74 @@ def _score(model, order: int, tokens: int, types: int):
                     pa.array(np.bincount(doc[hit], minlength=n)),
                     pa.array(base),
                     pa.array(score),
-                    pa.ListArray.from_arrays(cuts, pa.array(signed(rare[at]))),
-                    pa.ListArray.from_arrays(cuts, pa.array(np.diff(np.append(at, len(rare))))),
+                    rare,
+                    times,
+                    odd,
+                    odd_times,
                 ],
-                names=["doc_id", "held_out", "n_tokens", "n_common", "common_base", "score", "rare", "times"],
+                names=["doc_id", "held_out", "n_tokens", "n_common", "common_base", "score", "rare", "times", "odd", "odd_times"],
             )
 
     return run
 
 
+def _unseen(codes: DataFrame, grams: DataFrame, order: int) -> DataFrame:
+    """``(code, v)``: log probability of each of the different ``code``, none of which is among the longest n-grams."""
+    own = codes.select("code", F.explode(_masks(order)).alias("m"))
+    own = own.select("code", "m.o", F.col("code").bitwiseAND(F.col("m.mask")).alias("end"))
+    ends = own.select("o", "end").distinct().withColumn("context", F.shiftright("end", 8))
+    nodes = grams.select("o", F.col("code").alias("end"), "n")
+    after = nodes.withColumn("context", F.shiftright("end", 8))
+    after = after.join(ends.select("o", "context").distinct(), ["o", "context"], "left_semi")
+    # the same byte after the next shorter context; there is none below order 0
+    shorter = F.expr("CASE WHEN o > 0 THEN end & (shiftleft(1L, 8 * o) - 1) END")
+    lower = nodes.select((F.col("o") + 1).alias("o"), F.col("end").alias("_shorter"), F.col("n").alias("_below"))
+    after = after.withColumn("_shorter", shorter).join(lower, ["o", "_shorter"], "left")
+    sums = after.groupBy("o", "context").agg(
+        F.sum("n").alias("total"), F.count("*").alias("kinds"), F.sum(F.coalesce("_below", F.lit(0))).alias("excluded")
+    )
+    facts = materialise(ends.join(nodes, ["o", "end"], "left").join(sums, ["o", "context"], "left").drop("context"), "facts")
+    # at most 256 + 256^2 rows below order 2
+    low = own.filter("o < 2").join(F.broadcast(facts.filter("o < 2")), ["o", "end"])
+    walks = low.unionByName(own.filter("o >= 2").join(facts.filter("o >= 2"), ["o", "end"]))
+    names = ["n", "total", "kinds", "excluded"]
+    walks = walks.groupBy("code").agg(*[F.max(F.when(F.col("o") == o, F.col(k))).alias(f"{k}{o}") for o in range(order + 1) for k in names])
+
+    def of(name: str, o: int) -> Column:
+        return F.coalesce(f"{name}{o}", F.lit(0)) if o <= order else F.lit(0)
+
+    v = -F.log10(SYMBOLS - of("kinds", 0))
+    for o in range(order + 1):
+        new = of("kinds", o) - of("kinds", o + 1)
+        room = of("total", o) - of("excluded", o + 1) + new
+        escape = F.when(new > 0, F.log10(new / room)).otherwise(0.0)
+        v = F.when(F.col(f"n{o}").isNotNull(), F.log10(F.col(f"n{o}") / room)).otherwise(escape + v)
+    return walks.select("code", v.alias("v"))
+
+
+def _odd_scores(rows: DataFrame, model: Model) -> DataFrame:
+    """``(_row, odd_score)``: what the n-grams that were not broadcast add to the score."""
+    odd = rows.select("_row", F.explode(F.arrays_zip("odd", "odd_times")).alias("c"))
+    odd = odd.select("_row", F.col("c.odd").alias("code"), F.col("c.odd_times").alias("times"))
+    odd = odd.join(model.longest.select("code", "p"), "code", "left")
+    # one row for all known codes of a document and one for each unseen code
+    odd = odd.groupBy("_row", F.when(F.col("p").isNull(), F.col("code")).alias("code"))
+    odd = materialise(odd.agg(F.sum("times").alias("times"), F.sum(F.col("times") * F.col("p")).alias("s")), "odd")
+    known, unseen = odd.filter("code IS NULL"), odd.filter("code IS NOT NULL")
+    walks = _unseen(materialise(unseen.select("code").distinct(), "unseen"), model.grams, model.order)
+    unseen = unseen.join(walks, "code").select("_row", (F.col("times") * F.col("v")).alias("s"))
+    return known.select("_row", "s").unionByName(unseen).groupBy("_row").agg(F.sum("s").alias("odd_score"))
+
+
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score`` for each row.
 
     ``docs`` has ``doc_id``, ``text`` and ``held_out``, which is only passed on. Null texts are empty: one end token.
     """
     spark = docs.sparkSession
-    shipped = spark.sparkContext.broadcast((model.trie, *model.common))
-    made = "doc_id long, held_out boolean, n_tokens long, n_common long, common_base double, score double, rare array<long>, times array<long>"
+    shipped = spark.sparkContext.broadcast((model.near, *model.common))
+    made = "doc_id long, held_out boolean, n_tokens long, n_common long, common_base double, score double, rare array<long>, times array<int>, "
+    made += "odd array<long>, odd_times array<int>"
     rows = docs.select("doc_id", "text", "held_out").mapInArrow(_score(shipped, model.order, model.tokens, model.types), made)
     rows = materialise(rows.withColumn("_row", F.monotonically_increasing_id()), "scored")
     rare = rows.select("_row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("_row", "r.rare", "r.times")
@@ -364,14 +470,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     room = model.tokens + 0.5 * (model.types + 1)
     each = F.col("times") * F.log10((F.coalesce("n", F.lit(0)) + 0.5) / F.lit(room))
     sums = joined.groupBy("_row").agg(F.sum(each).alias("b"), F.sum(F.when(F.col("n") > 0, F.col("times"))).alias("k"))
-    return rows.drop("rare", "times").join(sums, "_row", "left").select(
+    out = rows.drop("rare", "times", "odd", "odd_times").join(sums, "_row", "left")
+    out = out.withColumn("odd_score", F.lit(0.0)) if model.longest is None else out.join(_odd_scores(rows, model), "_row", "left")
+    return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
         (F.col("n_common") + F.coalesce("k", F.lit(0))).alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("common_base") + F.coalesce("b", F.lit(0.0))).alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("odd_score", F.lit(0.0))).alias("score"),
     )
 
 
@@ -395,7 +503,7 @@ def id_remainder(doc_id: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % modulus, F.lit(0))
 
 
-def score_held_out(docs: DataFrame, modulus: int = 5, held: int = 1, order: int = ORDER, share: float = SHARE) -> DataFrame:
+def score_held_out(docs: DataFrame, modulus: int = 5, held: int = 1, order: int = ORDER, share: float = 0.0) -> DataFrame:
     """Learn from the documents whose id's crc32 modulo ``modulus`` is not ``held``; score all of them."""
     marked = docs.select(F.col("doc_id").cast("long"), "text", (id_remainder("doc_id", modulus) == held).alias("held_out"))
     return score(marked, fit(marked.filter(~F.col("held_out")), order, share))

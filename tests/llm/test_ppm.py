@@ -8,7 +8,9 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from doctopics.llm import ppm
 from doctopics.llm.ppm import END, Slots, Trie, adaptive_log10, adaptive_score, fit, score, score_held_out
 from doctopics.llm.q_text import op4_lm_scoring
 
@@ -86,6 +88,21 @@ def test_score_matches_plain_coder(docs_of, order, share):
         assert out[k] == pytest.approx(plain(train, t, order, share))
 
 
+@pytest.mark.parametrize("order", [1, 2, 5])
+def test_rare_ngrams_predict(docs_of, monkeypatch, order):
+    """N-grams too rare to be broadcast predict like frequent ones, and unseen ones escape through all orders."""
+    monkeypatch.setattr(ppm, "SHARE", 0.02)
+    train = [b"the cat sat on the mat", b"The mat sat", b"", "éé ñ the".encode(), b"aaaa\n\nbbb", b"qux zyx"]
+    texts = [b"the cat", b"", b"zebra THE mat qux", "é\U0001f642".encode(), b"aaaa", b"qux zyx", b"zyxq" * 50]
+    asked = docs_of([(k, t.decode()) for k, t in enumerate(texts)]).withColumn("held_out", F.lit(True))
+    df = docs_of([(k, t.decode()) for k, t in enumerate(train)])
+    out = {r["doc_id"]: r["score"] for r in score(asked, fit(df, order)).collect()}
+    for k, t in enumerate(texts):
+        assert out[k] == pytest.approx(plain(train, t, order))
+    empty = score(asked.limit(1), fit(docs_of([]), order)).first()["score"]
+    assert empty == pytest.approx(-8 * math.log10(256))
+
+
 def test_edges(docs_of):
     rows = [(None, "no id"), (2, None), (3, ""), (4, "a b a"), (4, "a b a"), (6, "x" * 300_000), (7, "A\x0bB\x1cC")]
     df = docs_of(rows, score=("int", [1] * 7), rare=("int", [2] * 7), held_out=("int", [0] * 7))
