@@ -20,7 +20,8 @@ from doctopics.runtime import ship_package
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     ship_package(spark)
-    return keep_good(docs, trusted_documents(table(spark, sf_dir, "labels")))
+    labels = table(spark, sf_dir, "labels")
+    return keep_good(docs, trusted_documents(labels), toxic=labels)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,7 +68,8 @@ def op7_license_scan(spark, sf_dir):
 @register("op5_quality_rules")
 def op5_quality_rules(spark, sf_dir):
     """No SQL: DuckDB has other hashes; the base is checked by SQL in the tests, the ratio against brute force."""
-    rules = quality_rules(table(spark, sf_dir, "documents"), trusted_documents(table(spark, sf_dir, "labels")))
+    labels = table(spark, sf_dir, "labels")
+    rules = quality_rules(table(spark, sf_dir, "documents"), trusted_documents(labels), toxic=labels)
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return rules.select("doc_id", *counts, "base_failed", "kept", "n_grams", F.round("llr", 9).alias("llr"))
 

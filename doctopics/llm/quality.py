@@ -3,11 +3,17 @@
 Tokens are runs of letters and digits and runs of other signs. Unigrams and bigrams of tokens are hashed into a fixed
 number of buckets. The raw multinomial counts the buckets of all documents, the target multinomial those of trusted ones,
 up to ``max_trusted`` of them, chosen by a hash of their id. A document's score is the mean over its n-grams of
-log(target / raw); every document with at least ``threshold`` passes. Only the bucket table is ever broadcast, and its
+log(target / raw); every document with at least ``threshold`` passes. Only the bucket table is broadcast whole, and its
 size is the parameter ``buckets``.
 
-All of it is DataFrame functions. A text is read twice, once to count and once to score; what is shuffled is a row for
-each document or bucket.
+A mean hides a few insults in a long text, so toxic documents are found by markers beside it: n-grams (by their 64-bit
+hashes, so that frequent ones do not share a marker's bucket) that significantly more documents labelled toxic contain than
+those labelled not toxic, good or poor. A document's markers add up, with the logarithm of the ratio of the two document frequencies each, whatever
+the length of the text; it fails if they speak for toxic by more than ``TOXIC``. Up to ``max_trusted`` labelled documents
+of each kind are compared. With too few of them no n-gram is significant and nothing is dropped.
+
+All of it is DataFrame functions. A text is read twice, once to count and once to score, and labelled ones once more; what
+is shuffled is a row for each document, bucket or n-gram of a labelled document.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from doctopics.llm.base import let, materialise
+from doctopics.runtime import counted_broadcast
 
 WORD = r"[^\x20\x09-\x0D]+"
 TOKEN = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
@@ -25,6 +32,10 @@ MAX_TRUSTED = 20_000
 SMOOTHING = 1.0
 # Mean log ratio below which a document fails: clearly less likely as a target text than as any text of the corpus.
 THRESHOLD = -0.25
+# Log-likelihood ratio statistic (G squared, one degree of freedom) of a marker: a chance of 4e-8 for any one n-gram.
+SIGNIFICANT = 30.0
+# Summed log ratio above which a document is toxic: 20 to 1.
+TOXIC = 3.0
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -83,29 +94,36 @@ def base_counts(text: Column) -> dict[str, Column]:
     }
 
 
-def gram_buckets(text: Column, buckets: int) -> Column:
-    """Bucket of each unigram and bigram."""
-
-    def bucket(*tokens: Column) -> Column:
-        return F.pmod(F.xxhash64(*tokens), F.lit(buckets)).cast("int")
+def gram_hashes(text: Column) -> Column:
+    """Hash of each unigram and bigram."""
 
     def grams(t: Column) -> Column:
-        pairs = F.zip_with(t, F.slice(t, 2, F.greatest(F.size(t), F.lit(1))), lambda a, b: F.when(b.isNotNull(), bucket(a, b)))
-        return F.concat(F.transform(t, lambda x: bucket(x)), F.filter(pairs, lambda x: x.isNotNull()))
+        pairs = F.zip_with(t, F.slice(t, 2, F.greatest(F.size(t), F.lit(1))), lambda a, b: F.when(b.isNotNull(), F.xxhash64(a, b)))
+        return F.concat(F.transform(t, lambda x: F.xxhash64(x)), F.filter(pairs, lambda x: x.isNotNull()))
 
     return let(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), grams)
 
 
+def bucket_of(gram: Column, buckets: int) -> Column:
+    return F.pmod(gram, F.lit(buckets)).cast("int")
+
+
+def _chosen(ids: DataFrame, most: int) -> DataFrame:
+    """``most`` of the different ids, those with the smallest hashes."""
+    ids = ids.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
+    return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
+
+
 def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED) -> DataFrame:
     """``(bucket, w)``: log ratio of the target's and the raw corpus's smoothed multinomials, at most ``buckets`` rows.
 
     ``trusted`` has ``doc_id``; ``max_trusted`` of its ids are used, those with the smallest hashes.
     """
-    chosen = trusted.select(F.col("doc_id").cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_trusted).withColumn("_t", F.lit(1))
+    chosen = _chosen(trusted, max_trusted).withColumn("_t", F.lit(1))
     # at most max_trusted ids
     marked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id", "left")
-    grams = marked.select("_t", F.explode(gram_buckets(F.coalesce("text", F.lit("")), buckets)).alias("bucket"))
+    grams = marked.select("_t", F.explode(gram_hashes(F.coalesce("text", F.lit("")))).alias("gram"))
+    grams = grams.select("_t", bucket_of(F.col("gram"), buckets).alias("bucket"))
     # written once, or the texts would be read again for the totals
     counts = materialise(grams.groupBy("bucket").agg(F.count("*").alias("raw"), F.count("_t").alias("target")), "buckets")
     totals = counts.agg(F.coalesce(F.sum("raw"), F.lit(0)).alias("r"), F.coalesce(F.sum("target"), F.lit(0)).alias("t")).first()
@@ -116,34 +134,83 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, max_
     return counts.select("bucket", (target - raw).alias("w"))
 
 
+def toxic_markers(docs: DataFrame, toxic: DataFrame, max_labels: int = MAX_TRUSTED) -> DataFrame:
+    """``(gram, x)``: n-grams that mark toxic documents and the log ratio of their document frequencies.
+
+    ``toxic`` has ``doc_id`` and ``toxic`` (1 or 0); an id with both is toxic. The markers are at most the n-grams of
+    ``max_labels`` documents.
+    """
+    marked, clean = (_chosen(toxic.filter(F.col("toxic") == x), max_labels).withColumn("x", F.lit(x)) for x in (1, 0))
+    labelled = marked.unionByName(clean)
+    labelled = labelled.groupBy("doc_id").agg(F.max("x").alias("x"))
+    # at most 2 * max_labels ids
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(labelled), "doc_id")
+    # a last entry without n-gram counts the documents
+    own = F.array_append(F.array_distinct(gram_hashes(F.coalesce("text", F.lit("")))), F.lit(None).cast("long"))
+    counts = found.select("x", F.explode(own).alias("gram")).groupBy("gram")
+    counts = counts.agg(F.sum("x").alias("a"), F.sum(1 - F.col("x")).alias("b"))
+    counts = materialise(counts.filter("a > 1 OR gram IS NULL"), "toxic_counts")
+    of = counts.filter("gram IS NULL").first()
+    all_a, all_b = (of["a"], of["b"]) if of else (0, 0)
+    a, b, n = F.col("a"), F.col("b"), max(1, all_a + all_b)
+
+    def part(seen: Column, row: Column, column: int) -> Column:
+        return F.when(seen > 0, seen * F.log(seen * n / (row * column))).otherwise(0.0)
+
+    rest = all_a - a + all_b - b
+    g = 2 * (part(a, a + b, all_a) + part(b, a + b, all_b) + part(all_a - a, rest, all_a) + part(all_b - b, rest, all_b))
+    x = F.log((a + 0.5) / F.lit(all_a + 1.0)) - F.log((b + 0.5) / F.lit(all_b + 1.0))
+    return counts.filter("gram IS NOT NULL").withColumn("x", x).filter((F.col("x") > 0) & (g >= SIGNIFICANT)).select("gram", "x")
+
+
 def quality_rules(
-    docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, buckets: int = BUCKETS, max_trusted: int = MAX_TRUSTED
+    docs: DataFrame,
+    trusted: DataFrame,
+    threshold: float = THRESHOLD,
+    buckets: int = BUCKETS,
+    max_trusted: int = MAX_TRUSTED,
+    toxic: DataFrame | None = None,
 ) -> DataFrame:
-    """``doc_id``, the base counts, ``n_grams``, ``llr`` (mean log ratio, 0 without n-grams), ``base_failed``, ``kept``.
+    """``doc_id``, the base counts, ``n_grams``, ``toxic_score``, ``llr`` (mean log ratio, 0 without n-grams),
+    ``base_failed``, ``kept``.
 
     One row for each row of ``docs``. Null texts have no words and fail. Rows with null or repeated ids are scored like
-    others. Without trusted documents all ratios come from the raw counts alone.
+    others. Without trusted documents all ratios come from the raw counts alone. ``toxic`` has the ``doc_id`` of
+    labelled documents and their label ``toxic`` (1 or 0); without it ``toxic_score`` is 0.
     """
-    return _judged(_scored(docs, trusted, buckets, max_trusted), threshold).drop("_row")
+    return _judged(_scored(docs, trusted, buckets, max_trusted, toxic), threshold).drop("_row")
 
 
 def _scored(
-    docs: DataFrame, trusted: DataFrame, buckets: int, max_trusted: int, learn_from: DataFrame | None = None
+    docs: DataFrame,
+    trusted: DataFrame,
+    buckets: int,
+    max_trusted: int,
+    toxic: DataFrame | None = None,
+    learn_from: DataFrame | None = None,
 ) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    ratios = log_ratios(docs if learn_from is None else learn_from, trusted, buckets, max_trusted)
+    learn_from = docs if learn_from is None else learn_from
+    ratios = log_ratios(learn_from, trusted, buckets, max_trusted)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("_row"), text.alias("text"))
     base = base_counts(F.col("text"))
-    counted = rows.select("doc_id", "_row", *[c.alias(n) for n, c in base.items()], gram_buckets(F.col("text"), buckets).alias("_g"))
-    # a first entry that is no bucket carries the counts, so that one pass gives both
-    each = counted.select("doc_id", "_row", *base, F.posexplode(F.array_prepend("_g", F.lit(-1))).alias("_at", "bucket"))
+    counted = rows.select("doc_id", "_row", *[c.alias(n) for n, c in base.items()], gram_hashes(F.col("text")).alias("_g"))
+    # a first entry that is no n-gram carries the counts, so that one pass gives both
+    none = F.lit(None).cast("long")
+    each = counted.select("doc_id", "_row", *base, F.posexplode(F.array_prepend("_g", none)).alias("_at", "gram"))
     head = F.col("_at") == 0
     # the table has at most `buckets` rows
-    joined = each.join(F.broadcast(ratios), "bucket", "left")
+    joined = each.withColumn("bucket", bucket_of(F.col("gram"), buckets)).join(F.broadcast(ratios), "bucket", "left")
+    if toxic is None:
+        joined = joined.withColumn("x", F.lit(0.0))
+    else:
+        markers = toxic_markers(learn_from, toxic, max_trusted)
+        joined = joined.join(counted_broadcast(markers), "gram", "left")
     return joined.groupBy("_row").agg(
         F.max(F.when(head, F.col("doc_id"))).alias("doc_id"),
         *[F.sum(F.when(head, F.col(n))).alias(n) for n in base],
         (F.count("*") - 1).alias("n_grams"),
+        F.coalesce(F.sum("x"), F.lit(0.0)).alias("toxic_score"),
         F.coalesce(F.sum("w"), F.lit(0.0)).alias("_sum"),
     )
 
@@ -154,12 +221,14 @@ def _judged(scored: DataFrame, threshold: float) -> DataFrame:
     return (
         scored.withColumn("base_failed", failed)
         .withColumn("llr", llr)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
+        .withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold) & (F.col("toxic_score") <= TOXIC))
         .drop("_sum")
     )
 
 
-def keep_good(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def keep_good(
+    docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD, toxic: DataFrame | None = None
+) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns.
 
     The text decides alone, so rows are joined back by a hash of it and its length.
@@ -167,7 +236,7 @@ def keep_good(docs: DataFrame, trusted: DataFrame, threshold: float = THRESHOLD)
     key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.length("text"))
     texts = docs.select(F.col("doc_id"), "text", key.alias("_quality_key"))
     ratios_of = texts.select("doc_id", "text")
-    scored = _scored(texts.select(F.col("_quality_key").alias("doc_id"), "text"), trusted, BUCKETS, MAX_TRUSTED, ratios_of)
+    scored = _scored(texts.select(F.col("_quality_key").alias("doc_id"), "text"), trusted, BUCKETS, MAX_TRUSTED, toxic, ratios_of)
     good = _judged(scored, threshold).filter("kept").select(F.col("doc_id").alias("_quality_good")).distinct()
     return docs.join(good, key == F.col("_quality_good"), "left_semi")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 
@@ -11,7 +12,7 @@ import regex
 import xxhash
 
 from doctopics.llm.q_text import op5_quality_rules
-from doctopics.llm.quality import SMOOTHING, THRESHOLD, quality_rules
+from doctopics.llm.quality import SMOOTHING, THRESHOLD, TOXIC, keep_good, quality_rules, trusted_documents
 
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -78,3 +79,22 @@ def test_edges(spark, docs_of, trusted):
     ids = spark.createDataFrame([(x, 1) for x in trusted], "doc_id long, raw int")
     assert result(quality_rules(df, ids, buckets=512)) == brute(rows, {x for x in trusted if x is not None}, 512)
     assert quality_rules(docs_of([]), ids).count() == 0
+
+
+def test_toxic(spark, docs_of):
+    """A few insults in long normal texts are caught, in documents without a label too; clean ones stay."""
+    rng = random.Random(3)
+    words, insults = [f"w{k}" for k in range(400)], ["idiot", "moron", "clown"]
+    rows = []
+    for k in range(400):
+        text = rng.choices(words, k=rng.randint(60, 600))
+        for x in rng.sample(insults, 2) if k % 4 == 0 else ():
+            text[rng.randrange(len(text))] = x
+        rows.append((k, " ".join(text)))
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(0, 200)], "doc_id long, quality int, toxic int")
+    out = {r["doc_id"]: r for r in quality_rules(docs_of(rows), trusted_documents(labels), toxic=labels).collect()}
+    bad, clean = ([out[k] for k in range(400) if (k % 4 == 0) == x] for x in (True, False))
+    assert sum(r["kept"] for r in bad) <= 0.05 * len(bad)
+    assert sum(r["toxic_score"] > TOXIC for r in clean) <= 0.01 * len(clean)
+    kept = {r["doc_id"] for r in keep_good(docs_of(rows), trusted_documents(labels), toxic=labels).collect()}
+    assert kept == {k for k, r in out.items() if r["kept"]}
