@@ -6,12 +6,15 @@ from pyspark.sql import functions as F
 
 from doctopics.llm import licenses
 from doctopics.llm.base import register, table
+from doctopics.llm.bpe import decode_documents, encode_documents
+from doctopics.llm.collocations import collocations
 from doctopics.llm.decontaminate import contamination
 from doctopics.llm.langid import identify_languages
 from doctopics.llm.minhash_dedup import near_duplicate_classes
 from doctopics.llm.packing import pack_documents
 from doctopics.llm.ppm import score_held_out
 from doctopics.llm.quality import quality_rules, trusted_documents
+from doctopics.llm.resample import importance_resample
 from doctopics.llm.sharding import stratified_shards
 from doctopics.llm.substring_dedup import dedup_substrings
 
@@ -96,3 +99,60 @@ OP3_SQL = r"""WITH
 @register("op3_decontamination", OP3_SQL)
 def op3_decontamination(spark, sf_dir):
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def byte_tokenizer_path() -> str:
+    """The vocabulary the encoding query uses; another file is a parameter of ``encode_documents``."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("op11_bpe_round_trip")
+def op11_bpe_round_trip(spark, sf_dir):
+    """No SQL: a tokenizer; checked text by text against the tokenizers library and by an exact round trip."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    coded = decode_documents(encode_documents(docs, byte_tokenizer_path()), byte_tokenizer_path())
+    ids = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return coded.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+OP12_SQL = r"""WITH RECURSIVE
+  p AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS i,
+      unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
+-]')) AS piece
+      FROM documents),
+  w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
+  g AS (SELECT lang, k, array_to_string(w[s : s + k - 1], ' ') AS phrase, w[s : s + k - 1] AS parts
+        FROM (SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS s FROM w, (SELECT unnest([1, 2, 3]) AS k) WHERE len(w) >= k)),
+  f AS (SELECT lang, k, phrase, any_value(parts) AS parts, count(*) AS a FROM g GROUP BY ALL),
+  t AS (SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY ALL),
+  c AS (SELECT *, unnest(range(1, k)) AS cut FROM f WHERE k > 1 AND a >= 10),
+  s AS (SELECT c.lang, c.k, c.phrase, c.parts, c.a, cut, x.a AS l, y.a AS r,
+      CAST(1000000 * CAST(c.a AS HUGEINT) * c.a // (CAST(x.a AS HUGEINT) * y.a) AS BIGINT) AS score
+      FROM c JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(c.parts[1 : cut], ' ')
+        JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(c.parts[cut + 1 : c.k], ' ')),
+  b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+  o AS (SELECT lang, array_to_string(parts[q : q + 1], ' ') AS phrase, max(a) AS longer
+      FROM (SELECT *, unnest([1, 2]) AS q FROM b WHERE k = 3) GROUP BY ALL),
+  d AS (SELECT b.* FROM b LEFT JOIN o USING (lang, phrase) WHERE b.k = 3 OR o.longer IS NULL OR 100 * o.longer < 50 * b.a)
+  SELECT lang, rank, phrase, a, l, r, n, score
+  FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM d) JOIN t USING (lang)
+  WHERE rank <= 2000"""
+
+
+@register("op12_phrase_collocations", OP12_SQL)
+def op12_phrase_collocations(spark, sf_dir):
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+@register("op13_importance_resampling")
+def op13_importance_resampling(spark, sf_dir):
+    """No SQL: DuckDB has no crc32; checked against brute force."""
+    rows = importance_resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select("doc_id", "n_features", "weight", "score", "rank")

@@ -74,12 +74,12 @@ def flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return whole[offs[0] : offs[-1]], offs - offs[0]
 
 
-def word_spans(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def word_spans(data: np.ndarray, offs: np.ndarray, word_byte: np.ndarray = WORD_BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end byte of every word, and the n + 1 word offsets of the texts."""
     if not len(data):
         none = np.zeros(0, np.int64)
         return none, none, np.zeros(len(offs), np.int64)
-    inside = WORD_BYTE[data]
+    inside = word_byte[data]
     before = np.empty_like(inside)
     before[0], before[1:] = False, inside[:-1]
     firsts = offs[:-1][offs[:-1] < len(data)]
