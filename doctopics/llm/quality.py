@@ -7,10 +7,18 @@ log(target / raw); every document with at least ``threshold`` passes. Only the b
 size is the parameter ``buckets``.
 
 A mean hides a few insults in a long text, so toxic documents are found by markers beside it: n-grams (by their 64-bit
-hashes, so that frequent ones do not share a marker's bucket) that significantly more documents labelled toxic contain than
-those labelled not toxic, good or poor. A document's markers add up, with the logarithm of the ratio of the two document frequencies each, whatever
-the length of the text; it fails if they speak for toxic by more than ``TOXIC``. Up to ``max_trusted`` labelled documents
-of each kind are compared. With too few of them no n-gram is significant and nothing is dropped.
+hashes, so that frequent ones do not share a marker's bucket) that documents labelled toxic contain far more often than those
+labelled not toxic, good or poor. What more labels would only repeat is kept out of the evidence:
+
+- At most ``max_labelled`` documents of each kind are compared, those with the smallest id hashes.
+- Near copies count once: of the documents of a kind that share the smallest hash of their five-word windows, one speaks.
+- An n-gram is a marker if it is ``exp(EFFECT)`` times as frequent among toxic documents and its log-likelihood ratio
+  statistic is too large for chance among all n-grams tested (Bonferroni, ``FALSE_MARKERS``).
+- Two thirds of the classes of copies choose the markers. The clean documents of the last third set the threshold: at most
+  ``CLEAN_LOSS`` of them are above it.
+
+A document's markers add up, with the logarithm of the ratio of the two document frequencies each, whatever the length of
+the text; it fails if they exceed the threshold. With too few labels no n-gram is significant and nothing is dropped.
 
 All of it is DataFrame functions. A text is read twice, once to count and once to score, and labelled ones once more; what
 is shuffled is a row for each document, bucket or n-gram of a labelled document.
@@ -18,6 +26,8 @@ is shuffled is a row for each document, bucket or n-gram of a labelled document.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,10 +42,15 @@ MAX_TRUSTED = 20_000
 SMOOTHING = 1.0
 # Mean log ratio below which a document fails: clearly less likely as a target text than as any text of the corpus.
 THRESHOLD = -0.25
-# Log-likelihood ratio statistic (G squared, one degree of freedom) of a marker: a chance of 4e-8 for any one n-gram.
-SIGNIFICANT = 30.0
-# Summed log ratio above which a document is toxic: 20 to 1.
-TOXIC = 3.0
+MAX_LABELLED = 5_000
+# Least log ratio of a marker's document frequencies: 20 to 1.
+EFFECT = 3.0
+# Chance that any n-gram is a marker although it says nothing.
+FALSE_MARKERS = 0.05
+# Share of clean documents, not seen when the markers were chosen, that may be above the threshold.
+CLEAN_LOSS = 0.005
+HELD_OUT = 3
+COPY_WORDS = 5
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
@@ -134,24 +149,41 @@ def log_ratios(docs: DataFrame, trusted: DataFrame, buckets: int = BUCKETS, max_
     return counts.select("bucket", (target - raw).alias("w"))
 
 
-def toxic_markers(docs: DataFrame, toxic: DataFrame, max_labels: int = MAX_TRUSTED) -> DataFrame:
-    """``(gram, x)``: n-grams that mark toxic documents and the log ratio of their document frequencies.
+def copy_key(text: Column, window: int = COPY_WORDS) -> Column:
+    """Smallest hash of the windows of ``window`` words: nearly equal texts nearly always share it."""
+
+    def least(w: Column) -> Column:
+        hashes = F.transform(F.sequence(F.lit(1), F.size(w) - (window - 1)), lambda i: F.xxhash64(F.slice(w, i, window)))
+        return F.when(F.size(w) >= window, F.array_min(hashes)).otherwise(F.xxhash64(w))
+
+    return let(words_of(text), least)
+
+
+def toxic_markers(docs: DataFrame, toxic: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[DataFrame, float]:
+    """``(gram, x)``, n-grams that mark toxic documents with the log ratio of their document frequencies, and a threshold.
 
-    ``toxic`` has ``doc_id`` and ``toxic`` (1 or 0); an id with both is toxic. The markers are at most the n-grams of
-    ``max_labels`` documents.
+    ``toxic`` has ``doc_id`` and ``toxic`` (1 or 0); an id with both is toxic, null ids are left out. The markers are at
+    most the n-grams of ``max_labelled`` documents.
     """
-    marked, clean = (_chosen(toxic.filter(F.col("toxic") == x), max_labels).withColumn("x", F.lit(x)) for x in (1, 0))
-    labelled = marked.unionByName(clean)
-    labelled = labelled.groupBy("doc_id").agg(F.max("x").alias("x"))
-    # at most 2 * max_labels ids
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(labelled), "doc_id")
+    marked, clean = (_chosen(toxic.filter(F.col("toxic") == x), max_labelled).withColumn("x", F.lit(x)) for x in (1, 0))
+    labelled = marked.unionByName(clean).groupBy("doc_id").agg(F.max("x").alias("x"))
+    # at most 2 * max_labelled ids
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = found.join(F.broadcast(labelled), "doc_id")
+    found = materialise(found.select("doc_id", "x", copy_key(F.col("text")).alias("key"), gram_hashes(F.col("text")).alias("grams")), "labelled")
+    # one document speaks for its copies
+    speaking = found.groupBy("key", "x").agg(F.min("doc_id").alias("doc_id"))
+    found = found.join(F.broadcast(speaking), ["key", "x", "doc_id"]).dropDuplicates(["key", "x"])  # repeated rows
+    apart = F.pmod("key", F.lit(HELD_OUT)) == 0
+
     # a last entry without n-gram counts the documents
-    own = F.array_append(F.array_distinct(gram_hashes(F.coalesce("text", F.lit("")))), F.lit(None).cast("long"))
-    counts = found.select("x", F.explode(own).alias("gram")).groupBy("gram")
+    own = F.array_append(F.array_distinct("grams"), F.lit(None).cast("long"))
+    counts = found.filter(~apart).select("x", F.explode(own).alias("gram")).groupBy("gram")
     counts = counts.agg(F.sum("x").alias("a"), F.sum(1 - F.col("x")).alias("b"))
     counts = materialise(counts.filter("a > 1 OR gram IS NULL"), "toxic_counts")
     of = counts.filter("gram IS NULL").first()
     all_a, all_b = (of["a"], of["b"]) if of else (0, 0)
+    tested = max(1, counts.count() - 1)
     a, b, n = F.col("a"), F.col("b"), max(1, all_a + all_b)
 
     def part(seen: Column, row: Column, column: int) -> Column:
@@ -160,7 +192,16 @@ def toxic_markers(docs: DataFrame, toxic: DataFrame, max_labels: int = MAX_TRUST
     rest = all_a - a + all_b - b
     g = 2 * (part(a, a + b, all_a) + part(b, a + b, all_b) + part(all_a - a, rest, all_a) + part(all_b - b, rest, all_b))
     x = F.log((a + 0.5) / F.lit(all_a + 1.0)) - F.log((b + 0.5) / F.lit(all_b + 1.0))
-    return counts.filter("gram IS NOT NULL").withColumn("x", x).filter((F.col("x") > 0) & (g >= SIGNIFICANT)).select("gram", "x")
+    # the tail of the statistic is below exp(-g / 2)
+    significant = g >= 2 * math.log(tested / FALSE_MARKERS)
+    markers = counts.filter("gram IS NOT NULL").withColumn("x", x).filter((F.col("x") >= EFFECT) & significant).select("gram", "x")
+    markers = materialise(markers, "markers")
+
+    held = found.filter(apart & (F.col("x") == 0))
+    allowed = int(CLEAN_LOSS * held.count())
+    scores = held.select("doc_id", "key", F.explode("grams").alias("gram")).join(markers, "gram")
+    highest = scores.groupBy("doc_id", "key").agg(F.sum("x").alias("s")).orderBy(F.desc("s")).limit(allowed + 1).collect()
+    return markers, float(highest[allowed]["s"]) if len(highest) > allowed else 0.0
 
 
 def quality_rules(
@@ -172,11 +213,11 @@ def quality_rules(
     toxic: DataFrame | None = None,
 ) -> DataFrame:
     """``doc_id``, the base counts, ``n_grams``, ``toxic_score``, ``llr`` (mean log ratio, 0 without n-grams),
-    ``base_failed``, ``kept``.
+    ``toxic`` (whether it exceeds the threshold), ``base_failed``, ``kept``.
 
     One row for each row of ``docs``. Null texts have no words and fail. Rows with null or repeated ids are scored like
     others. Without trusted documents all ratios come from the raw counts alone. ``toxic`` has the ``doc_id`` of
-    labelled documents and their label ``toxic`` (1 or 0); without it ``toxic_score`` is 0.
+    labelled documents and their label ``toxic`` (1 or 0), repeated ids included; without it ``toxic_score`` is 0.
     """
     return _judged(_scored(docs, trusted, buckets, max_trusted, toxic), threshold).drop("_row")
 
@@ -201,18 +242,20 @@ def _scored(
     head = F.col("_at") == 0
     # the table has at most `buckets` rows
     joined = each.withColumn("bucket", bucket_of(F.col("gram"), buckets)).join(F.broadcast(ratios), "bucket", "left")
+    limit = 0.0
     if toxic is None:
         joined = joined.withColumn("x", F.lit(0.0))
     else:
-        markers = toxic_markers(learn_from, toxic, max_trusted)
+        markers, limit = toxic_markers(learn_from, toxic)
         joined = joined.join(counted_broadcast(markers), "gram", "left")
-    return joined.groupBy("_row").agg(
+    scored = joined.groupBy("_row").agg(
         F.max(F.when(head, F.col("doc_id"))).alias("doc_id"),
         *[F.sum(F.when(head, F.col(n))).alias(n) for n in base],
         (F.count("*") - 1).alias("n_grams"),
         F.coalesce(F.sum("x"), F.lit(0.0)).alias("toxic_score"),
         F.coalesce(F.sum("w"), F.lit(0.0)).alias("_sum"),
     )
+    return scored.withColumn("toxic", F.col("toxic_score") > limit)
 
 
 def _judged(scored: DataFrame, threshold: float) -> DataFrame:
@@ -221,7 +264,7 @@ def _judged(scored: DataFrame, threshold: float) -> DataFrame:
     return (
         scored.withColumn("base_failed", failed)
         .withColumn("llr", llr)
-        .withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold) & (F.col("toxic_score") <= TOXIC))
+        .withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold) & ~F.col("toxic"))
         .drop("_sum")
     )
 
@@ -231,9 +274,9 @@ def keep_good(
 ) -> DataFrame:
     """The rows of ``docs`` that the rules keep, with their columns.
 
-    The text decides alone, so rows are joined back by a hash of it and its length.
+    Rows are joined back by a hash of id and text, so that copies of one text are not one key.
     """
-    key = F.xxhash64(F.coalesce(F.col("text"), F.lit("")), F.length("text"))
+    key = F.xxhash64("doc_id", F.coalesce(F.col("text"), F.lit("")), F.length("text"))
     texts = docs.select(F.col("doc_id"), "text", key.alias("_quality_key"))
     ratios_of = texts.select("doc_id", "text")
     scored = _scored(texts.select(F.col("_quality_key").alias("doc_id"), "text"), trusted, BUCKETS, MAX_TRUSTED, toxic, ratios_of)

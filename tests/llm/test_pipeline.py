@@ -41,7 +41,10 @@ def test_order_and_columns(stages):
 def test_quality(spark, sf_dir, stages):
     before, after = stages["quality"]
     trusted = {r["doc_id"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect() if r["quality"] == 1 and r["toxic"] == 0}
-    kept = {r[0] for r in quality.brute(pairs(before), trusted, 1 << 16) if r[7]}
+    labels = [(r["doc_id"], r["toxic"]) for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()]
+    markers, limit = quality.brute_markers(pairs(before), labels)
+    toxic = {d for d, t in pairs(before) if sum(markers.get(g, 0.0) for g in quality.all_grams(t)) > limit}
+    kept = {r[0] for r in quality.brute(pairs(before), trusted, 1 << 16) if r[7]} - toxic
     assert {d for d, _ in pairs(after)} == kept and 0 < len(kept) < before.count()
 
 
