@@ -42,7 +42,7 @@ ABSORB_PERCENT = 50
 SCORE_UNIT = 1_000_000
 BITS = 1 << 23
 SLICES = 64
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 NO_LANGUAGE = "und"
 BREAK = np.zeros(256, dtype=bool)
 BREAK[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
