@@ -8,6 +8,10 @@ index of JSON lines. ``read_archives`` opens the normalised archives member by m
 A response holds its payload; a revisit names the response with the same payload (equal SHA-1) by its record id and keeps
 its payload's length in ``WARC-Payload-Length``. All files lie below a folder that all executors share. A task writes
 under a name of its own and moves the file into place, so a repeated task gives the same archive.
+
+A stream is bounded by records and by bytes. Pages are told apart by size class (equal payloads are of one class), and the
+larger ones go into streams of fewer records, so that no file outgrows what one value can hold. Archives are rewritten and
+read back in as many tasks as there are archives.
 """
 
 from __future__ import annotations
@@ -29,6 +33,9 @@ from doctopics.llm.base import materialise, shared_root
 
 WINDOW = 1 << 20
 FILE_RECORDS = 5_000
+FILE_BYTES = 1 << 28
+# Pages below so many bits of size share streams.
+SIZE_BITS = (16, 20, 24, 28)
 RECORD_END = b"\r\n\r\n"
 DATE = "2024-01-01T00:00:00Z"
 ID = "urn:page:"
@@ -90,14 +97,29 @@ def records(pages: DataFrame) -> DataFrame:
     return F.concat(head, payload).alias("value")
 
 
-def write_archives(pages: DataFrame, folder: str, min_bytes: int = 0, file_records: int = FILE_RECORDS) -> None:
+def size_class(pages: DataFrame) -> Column:
+    """Which of the size classes a page is of; the last one has no bound."""
+    size = F.coalesce(F.octet_length(F.col("html").cast("string")), F.lit(0)) + F.coalesce(F.octet_length(F.col("url").cast("string")), F.lit(0))
+    out = F.lit(len(SIZE_BITS))
+    for k in reversed(range(len(SIZE_BITS))):
+        out = F.when(size < 1 << SIZE_BITS[k], k).otherwise(out)
+    return out
+
+
+def write_archives(
+    pages: DataFrame, folder: str, min_bytes: int = 0, file_records: int = FILE_RECORDS, file_bytes: int = FILE_BYTES
+) -> None:
     """Write all pages into monolithic ``*.txt.gz`` streams of at most ``file_records`` records each.
 
-    Payloads are shuffled once, by digest, and written where they land.
+    Pages of 2**28 bytes or more stand alone; the streams of others have at most ``file_bytes`` bytes of pages. Payloads are
+    shuffled once, by digest, and written where they land.
     """
-    marked = with_revisits(pages, min_bytes)
-    lines = marked.select(records(marked)).write.option("lineSep", RECORD_END.decode()).option("compression", "gzip")
-    lines.option("maxRecordsPerFile", file_records).text(folder)
+    made = [r[0] for r in pages.select(size_class(pages).alias("k")).distinct().collect()]  # five at most
+    for k in sorted(made) or [0]:
+        most = max(1, file_bytes >> SIZE_BITS[k]) if k < len(SIZE_BITS) else 1
+        marked = with_revisits(pages.filter(size_class(pages) == k), min_bytes)
+        lines = marked.select(records(marked)).write.option("lineSep", RECORD_END.decode()).option("compression", "gzip")
+        lines.option("maxRecordsPerFile", min(file_records, most)).text(f"{folder}/size={k}")
 
 
 # ---------------------------------------------------------------- normalising
@@ -195,7 +217,8 @@ def normalise_archives(spark: SparkSession, source: str, folder: str) -> DataFra
     """Rewrite every ``*.gz`` below ``source`` into ``folder``; ``(archive, records, bytes)`` of what was written."""
     store, root = open_folder(folder)
     store.create_dir(root, recursive=True)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(source).select("path", "content")
+    found = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", True)
+    files = found.load(source).select("path", "content")
     return materialise(files.mapInArrow(_rewrite(folder), "archive string, records long, bytes long"), "archives")
 
 
@@ -240,8 +263,11 @@ def parse_record(record: bytes) -> tuple[int | None, int, str, str, int | None]:
 
 
 def read_archives(archives: DataFrame, folder: str) -> DataFrame:
-    """A row for each record of the normalised archives, each opened at its place in the sidecar index."""
-    return archives.select("archive").repartition("archive").mapInArrow(_read(folder), MADE)
+    """A row for each record of the normalised archives, each opened at its place in the sidecar index.
+
+    The names are dealt out in turn to as many tasks as there are archives; a number given is not merged at run time.
+    """
+    return archives.select("archive").repartition(max(1, archives.count())).mapInArrow(_read(folder), MADE)
 
 
 def archive_pages(pages: DataFrame, min_bytes: int = 0, file_records: int = FILE_RECORDS) -> DataFrame:

@@ -11,6 +11,7 @@ import os
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from doctopics.llm.q_pages import op10_warc
 from doctopics.llm.warc import archive_pages, inflate, normalise_archives, read_archives, split_records, write_archives
@@ -54,6 +55,29 @@ def test_edges(spark):
     assert archive_pages(pages(spark, [])).count() == 0
 
 
+def test_streams_are_bounded_by_bytes(spark, tmp_path):
+    """Pages of different sizes go into streams of their own, and none holds more than its bytes."""
+    rows = [(k, f"u{k}", f"{k}-" * 10) for k in range(30)] + [(100 + k, "v", f"{k}" * 70_000) for k in range(8)] + [(200, "w", "x" * (1 << 20))]
+    write_archives(pages(spark, rows), f"{tmp_path}/in", file_bytes=1 << 21)
+    sizes = [[len(r) for _, r in split_records(inflate(p.read_bytes()))] for p in sorted((tmp_path / "in").rglob("*.gz"))]
+    assert sum(map(len, sizes)) == len(rows) and all(sum(x) < (1 << 21) + 1000 * len(x) for x in sizes)
+    assert not any(min(x) < 1 << 16 <= max(x) for x in sizes)
+    archives = normalise_archives(spark, f"{tmp_path}/in", f"{tmp_path}/out")
+    assert archives.count() == len(sizes)
+    back = read_archives(archives, f"{tmp_path}/out")
+    assert {r["page_id"] for r in back.collect()} == {r[0] for r in rows}
+
+
+def test_read_back_in_as_many_tasks_as_archives(spark, tmp_path):
+    rows = [(k, "u", f"page {k}") for k in range(400)]
+    write_archives(pages(spark, rows), f"{tmp_path}/in", file_records=5)
+    archives = normalise_archives(spark, f"{tmp_path}/in", f"{tmp_path}/out")
+    back = read_archives(archives, f"{tmp_path}/out").withColumn("task", F.spark_partition_id())
+    of = back.groupBy("archive").agg(F.max("task").alias("task")).collect()
+    assert back.rdd.getNumPartitions() == archives.count() >= 80
+    assert max(Counter(r["task"] for r in of).values()) <= 0.1 * len(of)
+
+
 def test_smaller_payloads_are_responses(spark):
     kinds = {r["page_id"]: r["record_type"] for r in archive_pages(pages(spark), min_bytes=4).collect()}
     assert kinds[1] == kinds[2] == "revisit" and kinds[3] == kinds[4] == kinds[5] == "response"
@@ -64,9 +88,8 @@ def test_normalised_files(spark, tmp_path):
     archives = normalise_archives(spark, f"{tmp_path}/in", f"{tmp_path}/out")
     assert archives.count() > 1 and sum(r["records"] for r in archives.collect()) == len(ROWS)
     plain_in, plain_out = Counter(), Counter()
-    for name in os.listdir(tmp_path / "in"):
-        if name.endswith(".gz") and not name.startswith("."):
-            plain_in.update(r for _, r in split_records([gzip.decompress((tmp_path / "in" / name).read_bytes())]))
+    for path in (tmp_path / "in").rglob("*.gz"):
+        plain_in.update(r for _, r in split_records([gzip.decompress(path.read_bytes())]))
     for name in os.listdir(tmp_path / "out"):
         if name.endswith(".warc.gz"):
             data = (tmp_path / "out" / name).read_bytes()
