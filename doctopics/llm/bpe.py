@@ -5,7 +5,7 @@ can never be merged: there the ids of a text are certain to part. Cuts at those
 tokenizer's own pre-tokens, give short fragments that are encoded independently of each other, each different one once, and
 whose ids are concatenated. Decoding is a take from the table of token bytes.
 
-``BytePairs`` does both for Arrow arrays; ``encode_documents`` and ``decode_documents`` apply it as columns, so no row is
+``BytePairs`` does both for Arrow arrays; ``encode_documents`` and ``decode_documents`` apply it slice by slice: no row is
 shuffled, nothing of a text is cut off, and what a task holds is a slice of about a megabyte of text (or one longer text)
 beside a bounded table of fragments.
 
@@ -22,8 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from doctopics.llm.text import flat, pieces
@@ -178,18 +177,20 @@ class BytePairs:
     def decode(self, ids: pa.Array) -> pa.Array:
         """Text of every list of ids."""
         sizes = ids.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        values = ids.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        values = np.where((values >= 0) & (values < len(self.table) - 1), values, len(self.table) - 1)
-        upto = np.concatenate([[0], np.cumsum(sizes)])
-        out: list[pa.Array] = []
-        start = 0
-        while start < len(sizes):
-            stop = max(start + 1, int(np.searchsorted(upto, upto[start] + DECODE_IDS, "right")) - 1)
-            data, offs = flat(self.table.take(pa.array(values[upto[start] : upto[stop]])))
-            bounds = offs[upto[start : stop + 1] - upto[start]]
-            out.append(pa.array([data[a:b].tobytes().decode(errors="replace") for a, b in zip(bounds, bounds[1:])], pa.string()))
-            start = stop
-        return pa.concat_arrays(out) if out else pa.array([], pa.string())
+        values = ids.flatten().fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int32)
+        values = np.where((values >= 0) & (values < len(self.table) - 1), values, np.int32(len(self.table) - 1))
+        data, offs = flat(self.table.take(pa.array(values)))
+        bounds = offs[np.concatenate([[0], np.cumsum(sizes)])]
+        return pa.array([data[a:b].tobytes().decode(errors="replace") for a, b in zip(bounds, bounds[1:])], pa.string())
+
+
+def runs(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``most`` in all; a larger row stands alone."""
+    upto, start = np.cumsum(sizes), 0
+    while start < len(sizes):
+        stop = max(start + 1, int(np.searchsorted(upto, (upto[start - 1] if start else 0) + most, "right")))
+        yield start, stop
+        start = stop
 
 
 def coder(key: str, spec) -> BytePairs:
@@ -199,24 +200,52 @@ def coder(key: str, spec) -> BytePairs:
     return _coders[key]
 
 
-def _with_coder(df: DataFrame, path: str, method: str, kind: T.DataType, column: str) -> Column:
+def _shared(df: DataFrame, path: str):
     with open(path, encoding="utf-8") as f:
-        spec = df.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file, whatever the data
+        return df.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file, whatever the data
 
-    @F.arrow_udf(kind)
-    def apply(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = coder(path, spec)
-        for batch in batches:
-            yield getattr(own, method)(batch)
 
-    return apply.asNondeterministic()(F.col(column))  # so that the optimizer never evaluates it twice
+def _mapped(df: DataFrame, apply, made: dict[str, T.DataType], drop: str | None) -> DataFrame:
+    """``df`` with new columns from ``apply``, which gets and gives slices of record batches."""
+    gone = {n.lower() for n in made} | ({drop.lower()} if drop else set())
+    kept = [f for f in df.schema.fields if f.name.lower() not in gone]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, columns in apply(batches):
+            yield pa.record_batch([*[part.column(f.name) for f in kept], *columns], names=[*[f.name for f in kept], *made])
+
+    return df.mapInArrow(run, T.StructType([*kept, *[T.StructField(n, t) for n, t in made.items()]]))
+
 
+def encode_documents(
+    docs: DataFrame, tokenizer_path: str, text: str = "text", out: str = "ids", decoded: str | None = None, drop_text: bool = False
+) -> DataFrame:
+    """``docs`` with the ids of ``text`` in ``out`` and, if it is named, the text of those ids in ``decoded``.
 
-def encode_documents(docs: DataFrame, tokenizer_path: str, text: str = "text", out: str = "ids") -> DataFrame:
-    """``docs`` with the ids of ``text`` in ``out``. The file is read by the driver; workers need no copy."""
-    return docs.withColumn(out, _with_coder(docs, tokenizer_path, "encode", T.ArrayType(T.IntegerType()), text))
+    The file is read by the driver; workers need no copy.
+    """
+    spec = _shared(docs, tokenizer_path)
+
+    def apply(batches):
+        own = coder(tokenizer_path, spec)
+        for part in pieces(batches, text):
+            ids = own.encode(part.column(text))
+            yield part, [ids, own.decode(ids)] if decoded else [ids]
+
+    made = {out: T.ArrayType(T.IntegerType())} | ({decoded: T.StringType()} if decoded else {})
+    return _mapped(docs, apply, made, text if drop_text else None)
 
 
 def decode_documents(df: DataFrame, tokenizer_path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
     """``df`` with the text of ``ids`` in ``out``, special tokens included."""
-    return df.withColumn(out, _with_coder(df, tokenizer_path, "decode", T.StringType(), ids))
+    spec = _shared(df, tokenizer_path)
+
+    def apply(batches):
+        own = coder(tokenizer_path, spec)
+        for batch in batches:
+            sizes = batch.column(ids).value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            for start, stop in runs(sizes, DECODE_IDS):
+                part = batch.slice(start, stop - start)
+                yield part, [own.decode(part.column(ids))]
+
+    return _mapped(df, apply, {out: T.StringType()}, None)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from doctopics.llm import licenses
 from doctopics.llm.base import register, table
-from doctopics.llm.bpe import decode_documents, encode_documents
+from doctopics.llm.bpe import encode_documents
 from doctopics.llm.collocations import collocations
 from doctopics.llm.decontaminate import contamination
 from doctopics.llm.langid import identify_languages
@@ -112,7 +112,7 @@ def byte_tokenizer_path() -> str:
 def op11_bpe_round_trip(spark, sf_dir):
     """No SQL: a tokenizer; checked text by text against the tokenizers library and by an exact round trip."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    coded = decode_documents(encode_documents(docs, byte_tokenizer_path()), byte_tokenizer_path())
+    coded = encode_documents(docs, byte_tokenizer_path(), decoded="decoded", drop_text=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return coded.select(
         "doc_id",
@@ -125,7 +125,8 @@ def op11_bpe_round_trip(spark, sf_dir):
 OP12_SQL = r"""WITH RECURSIVE
   p AS (SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS i,
       unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?
--]')) AS piece
+-
+]')) AS piece
       FROM documents),
   w AS (SELECT lang, regexp_extract_all(piece, '[^ 	]+') AS w FROM p),
   g AS (SELECT lang, k, array_to_string(w[s : s + k - 1], ' ') AS phrase, w[s : s + k - 1] AS parts
