@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from doctopics.constants import ENGLISH_STOP_WORDS
 from doctopics.functions.porter import stem
 from doctopics.functions.text import WORD, WORD_END, WORD_START, squeeze_ws
-from doctopics.runtime import MAX_BROADCAST_ROWS
+from doctopics.runtime import MAX_BROADCAST_ROWS, materialise
 
 # Spoken contractions the word tokeniser splits in two.
 CONTRACTIONS = [("can", "not"), ("gon", "na"), ("got", "ta"), ("wan", "na"), ("lem", "me"), ("gim", "me")]
@@ -62,15 +62,19 @@ def stem_tokens(tokens: Column) -> Column:
     return _porter(tokens)
 
 
-def map_tokens(df: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
+def map_tokens(
+    df: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens", max_shipped: int = MAX_BROADCAST_ROWS
+) -> DataFrame:
     """Replace tokens by the form the lexicon ``(form, lemma)`` gives; unknown tokens stay.
 
-    A lexicon of up to ``MAX_BROADCAST_ROWS`` forms is shipped once and looked up within the row: nothing is shuffled. A
-    larger one is joined by shuffle, where adaptive execution splits the partitions of frequent words.
+    A form with several lemmas has the first one in string order; entries with a null do not count. There is one row for
+    each row of ``df``, whatever its id, and null tokens give an empty array. A lexicon of up to ``max_shipped`` forms is
+    looked up within the row: nothing is shuffled. Of a larger one the forms most used in ``df`` are shipped, and the
+    other words are joined by shuffle, so that no frequent word is one key. Both ways give the same rows.
     """
-    side = lexicon.select("form", "lemma").filter("form IS NOT NULL AND lemma IS NOT NULL")
-    rows = side.limit(MAX_BROADCAST_ROWS + 1).collect()
-    if len(rows) <= MAX_BROADCAST_ROWS:
+    side = lexicon.filter("form IS NOT NULL AND lemma IS NOT NULL").groupBy("form").agg(F.min("lemma").alias("lemma"))
+    rows = side.limit(max_shipped + 1).collect()
+    if len(rows) <= max_shipped:
         known = df.sparkSession.sparkContext.broadcast(dict(rows))
 
         @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -79,11 +83,20 @@ def map_tokens(df: DataFrame, lexicon: DataFrame, id_col: str = "doc_id", tokens
             return tokens.map(lambda words: [lemma.get(w, w) for w in words], na_action="ignore")
 
         return df.select(id_col, F.coalesce(replaced(F.col(tokens_col)), F.array().cast("array<string>")).alias(tokens_col))
-    long = df.select(id_col, F.posexplode_outer(tokens_col).alias("pos", "form"))
-    mapped = long.join(side, "form", "left")
-    word = F.struct("pos", F.coalesce("lemma", "form").alias("term"))
-    ordered = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), word)))
-    return mapped.groupBy(id_col).agg(F.transform(ordered, lambda w: w["term"]).alias(tokens_col))
+    # rows are numbered in a table, so that a repeated task sees the same numbers
+    numbered = materialise(df.select(F.monotonically_increasing_id().alias("_row"), F.col(id_col).alias("_id"), F.col(tokens_col).alias("_t")), "tokens")
+    long = numbered.select("_row", F.posexplode("_t").alias("pos", "form")).filter("form IS NOT NULL")
+    used = long.groupBy("form").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "form").limit(max_shipped)
+    often = F.broadcast(used.join(side, "form", "left").select("form", F.coalesce("lemma", "form").alias("often")))
+    marked = long.join(often, "form", "left")
+    rest = marked.filter("often IS NULL").join(side, "form", "left").withColumn("often", F.coalesce("lemma", "form")).drop("lemma")
+    word = F.struct("pos", F.col("often").alias("term"))
+    found = marked.filter("often IS NOT NULL").unionByName(rest).groupBy("_row").agg(F.array_sort(F.collect_list(word)).alias("_w"))
+    out = numbered.select("_row", "_id", "_t").join(found, "_row", "left")
+    replaced_at = F.map_from_entries(F.coalesce("_w", F.array().cast("array<struct<pos:int,term:string>>")))
+    whole = F.transform("_t", lambda t, i: F.try_element_at(F.col("_m"), i))
+    out = out.withColumn("_m", replaced_at)
+    return out.select(F.col("_id").alias(id_col), F.coalesce(whole, F.array().cast("array<string>")).alias(tokens_col))
 
 
 def lemmatise_tokens(df: DataFrame, lexicon: DataFrame, **columns: str) -> DataFrame:

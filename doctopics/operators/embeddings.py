@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
-from pyspark.ml.feature import PCA, Normalizer, Word2Vec
+from pyspark.ml.feature import PCA, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from doctopics.operators.describe import merge_smallest
+from doctopics.operators.encoders import WordVectors, fit_pmi, fit_word2vec
 from doctopics.operators.terms import top_rows
 from doctopics.runtime import counted_broadcast, run_parallel, sized
 from doctopics.sources.selection import cut_points
@@ -71,35 +72,21 @@ def _inverse_distance_shares(rows: np.ndarray, matrix: np.ndarray) -> np.ndarray
 # ---------------------------------------------------------------- encoders
 
 
-def embed_word2vec(
-    df: DataFrame,
-    tokens_col: str = "tokens",
-    out_col: str = "embedding",
-    size: int = 64,
-    min_count: int = 2,
-    seed: int = 42,
-    max_iter: int = 5,
-    partitions: int | None = None,
-    max_vocabulary: int = 100_000,
-):
-    """Train word vectors; a document is the mean of its words, so words and documents share one space.
-
-    ``partitions``: tasks that train side by side and are averaged after each pass, as many as the session has cores by
-    default. ``max_vocabulary`` bounds what reaches the driver: ``min_count`` rises until no more words than that have it.
-    Returns documents and the table ``(term, vector)``.
+def embed_word2vec(df: DataFrame, tokens_col: str = "tokens", out_col: str = "embedding", **options) -> tuple[DataFrame, DataFrame]:
+    """Documents with the mean of their words' vectors, and the trained words ``(term, vector)``, in one space.
+
+    Options are those of ``encoders.fit_word2vec``; words that were not trained have vectors by their parts.
     """
-    partitions = partitions or df.sparkSession.sparkContext.defaultParallelism
-    counts = df.select(F.explode(tokens_col).alias("term")).groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") >= min_count)
-    beyond = counts.orderBy(F.desc("n")).select("n").offset(max_vocabulary).limit(1).first()
-    if beyond is not None:
-        min_count = beyond["n"] + 1
-    model = Word2Vec(
-        vectorSize=size, minCount=min_count, seed=seed, maxIter=max_iter, numPartitions=partitions,
-        inputCol=tokens_col, outputCol="_w2v",
-    ).fit(df)
-    docs = model.transform(df).withColumn(out_col, vector_to_array("_w2v")).drop("_w2v")
-    words = model.getVectors().select(F.col("word").alias("term"), vector_to_array("vector").alias("vector"))
-    return docs, words
+    return _embedded(fit_word2vec(df, tokens_col, **options), df, tokens_col, out_col)
+
+
+def embed_pmi(df: DataFrame, tokens_col: str = "tokens", out_col: str = "embedding", **options) -> tuple[DataFrame, DataFrame]:
+    """The same with vectors from mutual information (``encoders.fit_pmi``)."""
+    return _embedded(fit_pmi(df, tokens_col, **options), df, tokens_col, out_col)
+
+
+def _embedded(vectors: WordVectors, df: DataFrame, tokens_col: str, out_col: str) -> tuple[DataFrame, DataFrame]:
+    return vectors.embed(df, tokens_col, out_col), vectors.table(df.sparkSession)
 
 
 def embed_with(

@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from doctopics.operators import density, describe, factor, lda, supervised, terms, topic_jobs
+from doctopics.operators import density, describe, encoders, factor, lda, supervised, terms, topic_jobs
 from doctopics.operators import embeddings as emb
 from doctopics.plans.base import SPLIT_CTE, articles, register, table, tokens
 from doctopics.plans.model_queries import LABEL_ID, encoded, labelled, predicted, train_tfidf
@@ -144,21 +144,33 @@ def experiment_check(spark, sf_dir):
     return spark.createDataFrame(rows, "grid string, n_rows int, accuracies_within_bounds boolean, best_beats_chance boolean")
 
 
-@register(
-    "embedding_check",
-    "SELECT count(*) AS n_documents, 32 AS width, true AS document_is_mean_of_its_words FROM documents",
-)
+ENCODED = """SELECT e.encoder, count(*) AS n_documents, 16 AS width, true AS document_is_mean_of_its_words, true AS every_word_has_a_vector
+    FROM documents CROSS JOIN (VALUES ('pmi'), ('word2vec')) e(encoder) GROUP BY e.encoder"""
+
+
+@register("embedding_check", ENCODED)
 def embedding_check(spark, sf_dir):
-    """Every document has a vector, the mean of the vectors of its words in the vocabulary."""
-    docs, words = emb.embed_word2vec(tokens(spark, sf_dir), size=32, max_iter=1)
-    docs, words = docs.persist(), words.persist()
-    long = docs.select("doc_id", F.explode("tokens").alias("term")).join(words, "term")
-    sums = long.select("doc_id", F.posexplode("vector").alias("i", "x")).groupBy("doc_id", "i").agg(F.sum("x").alias("s"))
-    cells = docs.select("doc_id", F.size("tokens").alias("n"), F.posexplode("embedding").alias("i", "x"))
-    off = cells.join(sums, ["doc_id", "i"], "left").select(F.abs(F.col("x") - F.coalesce(F.col("s") / F.col("n"), F.lit(0.0))).alias("d"))
-    worst = off.agg(F.max("d")).first()[0]
-    width = F.max(F.size("embedding")).alias("width")
-    out = docs.agg(F.count("*").alias("n_documents"), width, F.lit(worst < 1e-4).alias("document_is_mean_of_its_words"))
+    """With both encoders every word has a vector, trained or not, and a document is the mean of its words."""
+    df = tokens(spark, sf_dir).select("doc_id", "tokens").persist()
+    terms = df.select(F.explode("tokens").alias("term")).distinct().withColumn("tokens", F.array("term")).persist()
+    fits = {"word2vec": encoders.fit_word2vec(df, size=16, max_iter=1, max_vocabulary=300), "pmi": encoders.fit_pmi(df, size=16, max_vocabulary=300)}
+    out = None
+    for name, vectors in fits.items():
+        docs, words = vectors.embed(df), vectors.embed(terms, out_col="vector")
+        zero = words.filter(~F.exists("vector", lambda x: x != 0)).limit(1).count()
+        long = df.select("doc_id", F.explode("tokens").alias("term")).join(words.select("term", "vector"), "term")
+        sums = long.select("doc_id", F.posexplode("vector").alias("i", "x")).groupBy("doc_id", "i").agg(F.sum("x").alias("s"))
+        cells = docs.select("doc_id", F.size("tokens").alias("n"), F.posexplode("embedding").alias("i", "x"))
+        off = F.abs(F.col("x") - F.coalesce(F.col("s") / F.col("n"), F.lit(0.0)))
+        worst = cells.join(sums, ["doc_id", "i"], "left").agg(F.max(off)).first()[0]
+        row = docs.agg(
+            F.lit(name).alias("encoder"),
+            F.count("*").alias("n_documents"),
+            F.max(F.size("embedding")).alias("width"),
+            F.lit(worst < 1e-6).alias("document_is_mean_of_its_words"),
+            F.lit(not zero).alias("every_word_has_a_vector"),
+        )
+        out = row if out is None else out.unionByName(row)
     return out
 
 

@@ -379,10 +379,10 @@ def best_accuracy(spark, sf_dir):
 # ---------------------------------------------------------------- composed topic models
 
 
-def encoded(spark, sf_dir, size=32):
-    """Documents with class, split and Word2Vec vectors, as a table, and the word vectors."""
+def encoded(spark, sf_dir, size=32, encoder=emb.embed_word2vec):
+    """Documents with class, split and vectors of an encoder, as a table, and the word vectors."""
     df = labelled(spark, sf_dir).withColumn("label0", F.col("labels") - 1)
-    docs, words = emb.embed_word2vec(df, size=size)
+    docs, words = encoder(df, size=size)
     return materialise(docs, "encoded"), words
 
 
@@ -405,6 +405,7 @@ def top2vec_job(spark, sf_dir):
 
 @register("select_best_encoder")
 def select_best_encoder(spark, sf_dir):
-    encoders = {f"word2vec-{n}": (lambda n=n: encoded(spark, sf_dir, n)[0]) for n in (16, 32)}
+    kinds = {"word2vec": emb.embed_word2vec, "pmi": emb.embed_pmi}
+    encoders = {name: (lambda kind=kind: encoded(spark, sf_dir, encoder=kind)[0]) for name, kind in kinds.items()}
     best, _, board = topic_jobs.select_best_encoder(encoders)
     return _metrics(board.filter(F.col("encoder") == best), "encoder")

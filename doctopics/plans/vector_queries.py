@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from doctopics.operators import density
+from doctopics.operators import density, encoders
 from doctopics.operators import embeddings as emb
 from doctopics.plans.base import r6, register, table, tokens
+from doctopics.plans.cleaning_queries import WORD_LISTS_CTE
+from doctopics.runtime import materialise
 
 # cent: unit-length mean vector per label; scored: cosine of every vector with every centroid
 CENT = """pos AS (SELECT vec_id, label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
@@ -151,6 +153,35 @@ def embed_documents(spark, sf_dir):
     return docs.select("doc_id", F.posexplode("embedding").alias("pos", "x"))
 
 
+PMI_TERMS, PMI_WINDOW = 500, 5
+_SHIFTED = " UNION ALL ".join(f"SELECT x.term AS a, y.term AS b FROM k x JOIN k y ON x.doc_id = y.doc_id AND y.i = x.i + {d}" for d in range(1, PMI_WINDOW + 1))
+
+
+@register(
+    "pmi_cells",
+    f"""WITH {WORD_LISTS_CTE},
+    p AS (SELECT doc_id, unnest(tokens) AS term, generate_subscripts(tokens, 1) AS i FROM t),
+    v AS (SELECT term FROM p GROUP BY term HAVING count(*) >= 2 ORDER BY count(*) DESC, term LIMIT {PMI_TERMS}),
+    k AS (SELECT p.* FROM p JOIN v USING (term)),
+    pairs AS ({_SHIFTED}),
+    c AS (SELECT a, b, count(*) AS n FROM (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs) GROUP BY a, b),
+    s AS (SELECT a, sum(n) AS s FROM c GROUP BY a)
+    SELECT c.a AS term, c.b AS near_term, c.n, round(ln(c.n * (SELECT CAST(sum(n) AS DOUBLE) FROM c) / (CAST(x.s AS DOUBLE) * y.s)), 6) AS pmi
+    FROM c JOIN s x ON x.a = c.a JOIN s y ON y.a = c.b
+    WHERE ln(c.n * (SELECT CAST(sum(n) AS DOUBLE) FROM c) / (CAST(x.s AS DOUBLE) * y.s)) > 0""",
+)
+def pmi_cells(spark, sf_dir):
+    """Positive mutual information of the 500 most frequent terms within five words: what the second encoder factorises."""
+    df = tokens(spark, sf_dir).select("tokens").persist()
+    terms, _ = encoders.bounded_vocabulary(df, "tokens", 2, PMI_TERMS)
+    pairs = materialise(encoders.cooccurrences(df, terms, window=PMI_WINDOW), "pairs")
+    df.unpersist()
+    names = F.broadcast(spark.createDataFrame(list(enumerate(terms)), "a int, term string"))
+    cells = encoders.positive_pmi(pairs).join(pairs, ["a", "b"]).join(names, "a")
+    cells = cells.join(names.select(F.col("a").alias("b"), F.col("term").alias("near_term")), "b")
+    return cells.select("term", "near_term", "n", r6("pmi", "pmi"))
+
+
 def _reduced(spark, sf_dir):
     return emb.reduce_dims(table(spark, sf_dir, "embeddings"))
 

@@ -8,7 +8,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from doctopics.operators import comparison as cmp
-from doctopics.operators import density, describe, evaluation, factor, lda, supervised, terms, topic_jobs
+from doctopics.operators import describe, evaluation, factor, lda, supervised, terms, topic_jobs
 from doctopics.operators import embeddings as emb
 from doctopics.operators.coherence import coherence_cv
 
@@ -137,56 +137,6 @@ def test_coherence_bounds(spark):
     assert coherence_cv(df.limit(0), words).first()["coherence"] is None
 
 
-# ---------------------------------------------------------------- density
-
-
-@pytest.fixture(scope="module")
-def blobs(spark):
-    rng = np.random.default_rng(1)
-    centers = np.array([[0, 0, 0], [10, 0, 0], [0, 10, 0], [0, 0, 10]], dtype=float)
-    rows = [(i, i % 4, (centers[i % 4] + rng.normal(0, 0.4, 3)).tolist()) for i in range(240)]
-    rows += [(1000 + i, -1, (rng.uniform(30, 90, 3)).tolist()) for i in range(6)]
-    # A third of all rows are copies of one vector.
-    rows += [(2000 + i, 4, [-20.0, -20.0, -20.0]) for i in range(120)]
-    return spark.createDataFrame(rows, "vec_id long, label int, reduced array<double>").persist()
-
-
-@pytest.mark.parametrize("max_cells", [20_000, 150])
-def test_density_recovers_blobs(blobs, max_cells):
-    out = density.density_cluster(blobs, max_cells=max_cells).collect()
-    assert len(out) == 366
-    sizes = {}
-    for r in out:
-        sizes.setdefault(r["topic"], []).append(r["label"])
-    assert set(sizes) == {-1, 0, 1, 2, 3, 4}
-    assert len(sizes[0]) >= 120 and all(len(v) >= 10 for t, v in sizes.items() if t >= 0)
-    for topic, labels in sizes.items():
-        if topic >= 0:
-            assert len(set(labels)) == 1
-    assert len(sizes[-1]) < 60
-
-
-def test_spanning_tree_is_minimal(spark, blobs):
-    cells = density.summarise(blobs.select("reduced"), "reduced", 20_000)
-    core, tree = density.spanning_tree(spark, cells, 5)
-    d = np.sqrt(((cells.centers[:, None] - cells.centers[None]) ** 2).sum(-1))
-    d = np.maximum(np.maximum(d, core[None]), core[:, None])
-    inside, total = {0}, 0.0
-    best = d[0].copy()
-    while len(inside) < len(d):
-        best[list(inside)] = np.inf
-        j = int(best.argmin())
-        total += best[j]
-        inside.add(j)
-        best = np.minimum(best, d[j])
-    assert sum(w for w, _, _ in tree) == pytest.approx(total)
-
-
-def test_no_cluster_in_noise(spark):
-    df = spark.createDataFrame([(i, [float(i * i)]) for i in range(8)], "vec_id long, reduced array<double>")
-    assert {r["topic"] for r in density.density_cluster(df).collect()} == {-1}
-
-
 # ---------------------------------------------------------------- vectors and topics
 
 
