@@ -4,7 +4,8 @@ Every language has a codeword of bits, rows of a code with large pairwise distan
 hashed byte n-grams (1 to 3 bytes of the letters) tells the languages with a 1 from those with a 0: a multinomial
 log-ratio, learned from the counts of all labelled training texts, which are summed on the executors. Decoding weighs each
 bit's logistic loss by how well its classifier did on the training texts and chooses the codeword of least total loss; a
-text whose two best codewords are close is flagged as ambiguous.
+text whose two best codewords are close is flagged as ambiguous. Of languages with equal loss the first in string order is
+taken.
 
 What reaches the driver is a table of languages x n-gram buckets; the number of languages is checked.
 """
@@ -106,8 +107,10 @@ class Codec:
         """Best language of each text and the share of it against all others, from losses weighted by trust."""
         if len(self.languages) == 1:
             return np.zeros(len(margins), int), np.ones(len(margins))
-        signed = margins[:, None, :] * self.code[None, :, :] * STEEPNESS
-        loss = (np.logaddexp(0, -signed) * self.trust).sum(axis=2)
+        # a bit costs a language with 1 softplus(-margin) and one with -1 softplus(margin): two texts x languages products
+        steep = margins * STEEPNESS
+        wrong_one, wrong_zero = np.logaddexp(0, -steep) * self.trust, np.logaddexp(0, steep) * self.trust
+        loss = wrong_one @ (self.code == 1).T.astype(float) + wrong_zero @ (self.code == -1).T.astype(float)
         near = np.exp(-(loss - loss.min(axis=1, keepdims=True)))
         return loss.argmin(axis=1), near.max(axis=1) / near.sum(axis=1)
 
