@@ -37,6 +37,7 @@ ROWS = 5
 SIZE = 5
 SIMILARITY = 0.8
 BLOCK = 256
+BLOCK_BYTES = 4 << 20
 FLOAT_CELLS = 1 << 22
 
 
@@ -219,8 +220,8 @@ def _block_links(size: int, similarity: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                left, right = row["left"], row["right"]
+            for i in range(batch.num_rows):  # one pair of blocks at a time
+                left, right = batch.column("left")[i].as_py(), batch.column("right")[i].as_py()
                 ls, _, lo = shingles(_open(pa.array([x["ztext"] for x in left], pa.binary())), size)
                 rs, _, ro = shingles(_open(pa.array([x["ztext"] for x in right], pa.binary())), size)
                 known, column = np.unique(ls, return_inverse=True)
@@ -296,12 +297,24 @@ def similar_links(nodes: DataFrame, texts: DataFrame, size: int, similarity: flo
     sizes = placed.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mixed = sizes.groupBy("key").agg(F.count("*").alias("kinds"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
     mixed = mixed.filter("kinds > 1").select("key", "main")
-    open_rows = placed.join(mixed, "key").join(involved, "id")
-    block = F.pmod(F.xxhash64("id"), F.ceil(F.col("m") / BLOCK)).alias("block")
+    # buckets of different bands with the same members are compared once
+    members = placed.join(mixed, "key").join(involved.select("id", F.octet_length("ztext").alias("bytes")), "id")
+    alike = members.groupBy("key").agg(
+        F.count("*").alias("m"), F.sum("bytes").alias("bytes"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64("id", F.lit(1))).alias("y")
+    )
+    single = alike.groupBy("m", "bytes", "x", "y").agg(F.min("key").alias("key"))
+    single = single.withColumn("blocks", F.greatest(F.ceil(F.col("m") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES))).select("key", "blocks")
+    members = members.select("id", "key", "comp", "main").join(single, "key")
+    members = materialise(members.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks"))).drop("blocks"), "members")
+    # pairs of blocks are numbers only; texts come by bucket and block, so a large bucket is many keys
+    held = members.select("key", "block", (F.col("comp") != F.col("main")).alias("apart")).distinct()
+    which = held.filter("apart").select("key", F.col("block").alias("block_a")).join(held.select("key", F.col("block").alias("block_b")).distinct(), "key")
+    filled = members.join(involved, "id")
     member = F.struct("id", "comp", "ztext")
-    right = open_rows.groupBy("key", block).agg(F.collect_list(member).alias("right")).drop("block")
-    left = open_rows.filter("comp <> main").groupBy("key", block).agg(F.collect_list(member).alias("left")).drop("block")
-    rest = left.join(right, "key").select("left", "right").mapInArrow(_block_links(size, similarity), "a long, b long")
+    right = filled.groupBy("key", F.col("block").alias("block_b")).agg(F.collect_list(member).alias("right"))
+    left = filled.filter("comp <> main").groupBy("key", F.col("block").alias("block_a")).agg(F.collect_list(member).alias("left"))
+    joined = which.join(left, ["key", "block_a"]).join(right, ["key", "block_b"]).select("left", "right")
+    rest = joined.mapInArrow(_block_links(size, similarity), "a long, b long")
     return links.unionByName(rest.distinct())
 
 
