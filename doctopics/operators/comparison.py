@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from doctopics.constants import BEST_MODEL_METRICS, CLUSTER_METRICS
+from doctopics.runtime import materialise
 
 
 def ensemble_vote(
@@ -103,6 +104,13 @@ def final_comparison(parts: Sequence[DataFrame]) -> DataFrame:
     )
 
 
+def timed(build: Callable[[], DataFrame]) -> tuple[DataFrame, float]:
+    """The rows of a job, written once, and the seconds it took."""
+    start = time.monotonic()
+    rows = materialise(build(), "timed")
+    return rows, time.monotonic() - start
+
+
 def job_runs(spark: SparkSession, jobs: dict[str, Callable[[], DataFrame]]) -> DataFrame:
     """Run named jobs to completion without keeping their rows; one row ``(job, rows, seconds)`` each."""
     from pyspark.sql import Observation

@@ -7,12 +7,9 @@ joined with each other. Vector arithmetic runs on whole Arrow batches.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -23,8 +20,9 @@ from pyspark.sql.window import Window
 
 from doctopics.operators.describe import merge_smallest
 from doctopics.operators.encoders import WordVectors, fit_pmi, fit_word2vec
+from doctopics.operators.kmeans import elbow_curve
 from doctopics.operators.terms import top_rows
-from doctopics.runtime import counted_broadcast, run_parallel, sized
+from doctopics.runtime import counted_broadcast
 from doctopics.sources.selection import cut_points
 
 OUTLIER = -1
@@ -121,30 +119,10 @@ def reduce_dims(
 
 
 def kmeans_elbow(
-    df: DataFrame,
-    vector_col: str = "embedding",
-    max_k: int = 15,
-    restarts: int = 10,
-    seed: int = 42,
-    parallelism: int = 8,
-    max_iter: int = 300,
+    df: DataFrame, vector_col: str = "embedding", max_k: int = 15, restarts: int = 10, seed: int = 42, max_iter: int = 300
 ) -> DataFrame:
-    """``(k, sse, silhouette)`` for k = 2..max_k, the best of several restarts each."""
-    n, width = df.agg(F.count("*"), F.max(F.size(vector_col))).first()
-    points = df.select(array_to_vector(F.col(vector_col).cast("array<double>")).alias("features"))
-    points = sized(points, n, 8 * (width or 1)).persist()
-    scorer = ClusteringEvaluator(featuresCol="features", predictionCol="prediction", distanceMeasure="squaredEuclidean")
-
-    def fit(k: int, restart: int):
-        model = KMeans(k=k, seed=seed + restart, maxIter=max_iter, featuresCol="features").fit(points)
-        return k, float(model.summary.trainingCost), model
-
-    grid = list(product(range(2, max_k + 1), range(restarts)))
-    fits = run_parallel([lambda k=k, r=r: fit(k, r) for k, r in grid], parallelism)
-    best = [min((f for f in fits if f[0] == k), key=lambda f: f[1]) for k in range(2, max_k + 1)]
-    silhouettes = run_parallel([lambda m=m: float(scorer.evaluate(m.transform(points))) for _, _, m in best], parallelism)
-    rows = [(k, sse, s) for (k, sse, _), s in zip(best, silhouettes)]
-    points.unpersist()
+    """``(k, sse, silhouette)`` for k = 2..max_k, the best of several restarts each; all fits share each scan (``kmeans``)."""
+    rows = elbow_curve(df, vector_col, range(2, max_k + 1), restarts, seed, max_iter)
     return df.sparkSession.createDataFrame(rows, "k int, sse double, silhouette double")
 
 

@@ -95,18 +95,27 @@ def _split(df: DataFrame, split_col: str, width: int) -> tuple[DataFrame, DataFr
 def accuracy_rows(
     settings: Sequence[tuple[tuple, DataFrame, int]], split_col: str, bayes: str, parallelism: int
 ) -> list[tuple]:
-    """Test accuracy of four classifiers per setting ``(key, features, width)``; all fits share one pool."""
-    parts = [_split(df, split_col, width) for _, df, width in settings]
-    tasks, keys = [], []
-    for (key, _, _), (train, test, n) in zip(settings, parts):
-        for name, model in classifiers(n, bayes).items():
-            keys.append((*key, name))
-            tasks.append(lambda m=model, a=train, b=test: _score(m, a, b))
-    scores = run_parallel(tasks, parallelism)
-    for train, test, _ in parts:
-        train.unpersist()
-        test.unpersist()
-    return [(*key, score) for key, score in zip(keys, scores)]
+    """Test accuracy of four classifiers per setting ``(key, features, width)``.
+
+    As many settings are held at once as fill the pool with their four fits, so that the copies of the corpus do not grow
+    with the grid.
+    """
+    rows: list[tuple] = []
+    at_once = max(1, parallelism // 4)
+    for start in range(0, len(settings), at_once):
+        some = settings[start : start + at_once]
+        parts = [_split(df, split_col, width) for _, df, width in some]
+        tasks, keys = [], []
+        for (key, _, _), (train, test, n) in zip(some, parts):
+            for name, model in classifiers(n, bayes).items():
+                keys.append((*key, name))
+                tasks.append(lambda m=model, a=train, b=test: _score(m, a, b))
+        scores = run_parallel(tasks, parallelism)
+        for train, test, _ in parts:
+            train.unpersist()
+            test.unpersist()
+        rows += [(*key, score) for key, score in zip(keys, scores)]
+    return rows
 
 
 def _fit_rows(df: DataFrame, fit_scope: str, split_col: str) -> DataFrame:

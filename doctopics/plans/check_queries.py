@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from doctopics.operators import density, describe, encoders, factor, lda, supervised, terms, topic_jobs
 from doctopics.operators import embeddings as emb
 from doctopics.plans.base import SPLIT_CTE, articles, register, table, tokens
-from doctopics.plans.model_queries import LABEL_ID, encoded, labelled, predicted, train_tfidf
+from doctopics.plans.model_queries import LABEL_ID, encoded, labelled, train_tfidf
 from doctopics.plans.topic_queries import _by_source
+from doctopics.runtime import materialise
+
 
 def truths(*claims: str) -> str:
     """SQL: every claim holds."""
@@ -101,24 +103,32 @@ PREDICTED = f"""WITH {SPLIT_CTE}, t AS (SELECT {LABEL_ID} AS labels FROM splits
 
 @register("classifier_check", PREDICTED)
 def classifier_check(spark, sf_dir):
-    """Test documents per true class as each trained classifier returns them, and whether most predictions are right."""
+    """Test documents per true class as each trained classifier returns them, and whether most predictions are right.
+
+    Each model is scored by a job of its own; a few counts a model are kept.
+    """
     df, names = supervised.with_label_index(labelled(spark, sf_dir))
-    fitted = terms.fit_vectorizer(_train(df), 500)
-    vectors = fitted.tfidf(df).drop("tokens").persist()
+    train, held = df.filter("split = 'train'"), df.filter("split = 'test'")
+    fitted = terms.fit_vectorizer(train, 300)
+    vectors = materialise(fitted.tfidf(df).drop("tokens"), "vectors")
     n = _train(vectors).count()
-    models = {"forest": supervised.clf_random_forest(trees=20), "logreg": supervised.clf_logreg(n), "svc": supervised.clf_linear_svc(n)}
+    models = {
+        "forest": supervised.clf_random_forest(trees=20),
+        "logreg": supervised.clf_logreg(n, max_iter=100),
+        "svc": supervised.clf_linear_svc(n, max_iter=100),
+    }
+    counts = (F.count("*").alias("n"), F.count_if("ok").alias("k"))
     right = F.get(F.array(*map(F.lit, names)), F.col("prediction").cast("int")).cast("int") == F.col("labels")
-    held = vectors.filter("split = 'test'")
-    out = predicted(spark, sf_dir)
-    text = F.col("Predicted Class Index") == F.col("labels")
-    out = out.select(F.lit("predict_new").alias("model"), F.col("labels").cast("int").alias("labels"), text.alias("ok"))
+    rows = []
     for name, model in models.items():
-        scored = model.fit(_train(vectors)).transform(held)
-        out = out.unionByName(scored.select(F.lit(name).alias("model"), "labels", right.alias("ok")))
-    counts = out.groupBy("model", "labels").agg(F.count("*").alias("n"), F.count_if("ok").alias("k"))
-    whole = Window.partitionBy("model")  # one row per class
-    most = F.sum("k").over(whole) > 0.5 * F.sum("n").over(whole)
-    return counts.select("model", "labels", "n", most.alias("most_are_right"))
+        scored = model.fit(_train(vectors)).transform(vectors.filter("split = 'test'"))
+        rows += [(name, *r) for r in scored.withColumn("ok", right).groupBy("labels").agg(*counts).collect()]
+    text = train.withColumn("labels", F.col("labels").cast("string"))
+    predictor = supervised.fit_predictor(text.drop("label_idx"), k=8, max_features=300, max_iter=30)
+    out = supervised.predict_new(predictor, held).withColumn("ok", F.col("Predicted Class Index") == F.col("labels").cast("string"))
+    rows += [("predict_new", *r) for r in out.groupBy("labels").agg(*counts).collect()]
+    good = {m: sum(r[3] for r in rows if r[0] == m) > 0.5 * sum(r[2] for r in rows if r[0] == m) for m in {r[0] for r in rows}}
+    return spark.createDataFrame([(m, label, k, good[m]) for m, label, k, _ in rows], "model string, labels int, n long, most_are_right boolean")
 
 
 @register(
@@ -130,16 +140,21 @@ def classifier_check(spark, sf_dir):
 def experiment_check(spark, sf_dir):
     """Each grid with a short parameter list: all its rows, accuracies in [0, 1], the best above an even guess."""
     df = labelled(spark, sf_dir)
-    _, report = supervised.experiment_pca(df, max_features=200)
+
+    def pca():
+        _, report = supervised.experiment_pca(df, max_features=200)
+        return report.filter("class = 'accuracy'").withColumnRenamed("precision", "Accuracy")
+
     grids = {
-        "nmf": supervised.experiment_nmf(df, (8,), 200, 50),
-        "lsa": supervised.experiment_lsa(df, (100, 200), (8,)),
-        "bow_tfidf": supervised.experiment_bow_tfidf(df, (100,), (200,)),
-        "pca": report.filter("class = 'accuracy'").withColumnRenamed("precision", "Accuracy"),
+        "nmf": lambda: supervised.experiment_nmf(df, (8,), 200, 30),
+        "lsa": lambda: supervised.experiment_lsa(df, (100, 200), (8,)),
+        "bow_tfidf": lambda: supervised.experiment_bow_tfidf(df, (100,), (200,)),
+        "pca": pca,
     }
     rows = []
     for name, grid in grids.items():
-        values = [r["Accuracy"] for r in grid.select("Accuracy").collect()]
+        values = [r["Accuracy"] for r in grid().select("Accuracy").collect()]
+        spark.catalog.clearCache()  # nothing of one grid is held during the next
         rows.append((name, len(values), all(0 <= v <= 1 for v in values), max(values) > 0.25))
     return spark.createDataFrame(rows, "grid string, n_rows int, accuracies_within_bounds boolean, best_beats_chance boolean")
 

@@ -178,11 +178,8 @@ on_description("drop_weekdays", sql_drop_words("description", WEEKDAYS), _on_fra
 on_description("squeeze_ws", sql_squeeze("description"), _on_frame(text.squeeze_ws))
 
 _full = sql_numeric(sql_unquote(sql_unescape(sql_strip("description"))))
-on_description(
-    "full_text_transform",
-    sql_squeeze(sql_drop_words(sql_drop_words(_full, WEB_TOKENS), WEEKDAYS)),
-    text.full_text_transform,
-)
+SQL_FULL_TRANSFORM = sql_squeeze(sql_drop_words(sql_drop_words(_full, WEB_TOKENS), WEEKDAYS))
+on_description("full_text_transform", SQL_FULL_TRANSFORM, text.full_text_transform)
 
 
 @register(

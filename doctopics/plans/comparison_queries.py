@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from doctopics.operators import coherence
 from doctopics.operators import comparison as cmp
 from doctopics.operators import evaluation as ev
 from doctopics.operators import terms
 from doctopics.plans.base import V_ASSIGN, WORDS_CTE, assignments, documents, r6, register, tokens
-from doctopics.plans.evaluation_queries import METRICS, SCORE_NAMES, TOPIC_WORDS, topic_words
-from doctopics.plans.term_queries import FULL
+from doctopics.plans.evaluation_queries import METRICS, SCORE_NAMES, topic_words
+from doctopics.plans.topic_queries import COHERENCE_SQL
+from doctopics.runtime import one_row
 
 
 @register(
@@ -56,21 +58,29 @@ def best_model_per_metric(spark, sf_dir):
 
 @register(
     "final_comparison",
-    f"""{FULL}, {TOPIC_WORDS}, {V_ASSIGN}, {METRICS},
-    div AS (SELECT count(DISTINCT term) / CAST(count(*) AS DOUBLE) AS d FROM topic_words)
+    f"""{COHERENCE_SQL}, {V_ASSIGN}, {METRICS},
+    div AS (SELECT count(DISTINCT term) / CAST(count(*) AS DOUBLE) AS d FROM topic_words),
+    coh AS (SELECT avg(k) AS k FROM (SELECT topic, avg(c) AS k FROM cos GROUP BY topic))
     SELECT model AS "Model", CAST(NULL AS DOUBLE) AS "Coherence", CAST(NULL AS DOUBLE) AS "Diversity", round(ari, 6) + 0.0 AS "ARI",
       round(v, 6) AS "NMI", round(h, 6) AS "Homogeneity", round(c, 6) AS "Completeness", round(v, 6) AS "V-Measure",
-      round(acc, 6) AS "Accuracy" FROM metrics
-    UNION ALL SELECT 'class terms', NULL, round(d, 6), NULL, NULL, NULL, NULL, NULL, NULL FROM div""",
+      round(acc, 6) AS "Accuracy", true AS timed FROM metrics
+    UNION ALL SELECT 'class terms', round(k, 6), round(d, 6), NULL, NULL, NULL, NULL, NULL, NULL, true FROM div, coh""",
 )
 def final_comparison(spark, sf_dir):
-    scored = ev.model_metrics(assignments(spark, sf_dir)).withColumnsRenamed(
-        {"model": "Model", "Aligned_Accuracy": "Accuracy"}
-    )
-    described = ev.topic_diversity(topic_words(spark, sf_dir)).withColumn("Model", F.lit("class terms"))
-    table = cmp.final_comparison([scored, described])
+    """Assignments scored against the labels, and described topics by coherence and diversity; each with its run time."""
+    words = topic_words(spark, sf_dir)
+
+    def scored():
+        return ev.model_metrics(assignments(spark, sf_dir)).withColumnsRenamed({"model": "Model", "Aligned_Accuracy": "Accuracy"})
+
+    def described():
+        mean = coherence.coherence_cv(tokens(spark, sf_dir), words).agg(F.avg("coherence").alias("Coherence"))
+        return one_row(ev.topic_diversity(words).withColumn("Model", F.lit("class terms")), mean)
+
+    timed = [cmp.timed(job) for job in (scored, described)]
+    table = cmp.final_comparison([rows.withColumn("Runtime (s)", F.lit(seconds)) for rows, seconds in timed])
     numbers = [n for n in table.columns if n not in ("Model", "Runtime (s)")]
-    return table.select("Model", *[r6(f"`{n}`", n) for n in numbers])
+    return table.select("Model", *[r6(f"`{n}`", n) for n in numbers], (F.col("`Runtime (s)`") > 0).alias("timed"))
 
 
 @register(

@@ -14,8 +14,7 @@ from doctopics.plans.base import (
     register,
     table,
 )
-from doctopics.plans.cleaning_queries import DATELINE_CTES
-from doctopics.functions.dateline import dateline_columns
+from doctopics.plans.cleaning_queries import DATELINE_CTES, SQL_FULL_TRANSFORM
 from doctopics.runtime import work_path
 from doctopics.sources import labelled, selection
 
@@ -82,9 +81,18 @@ def read_category_corpus(spark, sf_dir):
     return df.select("labels", "headline", F.md5("short_description").alias("text_md5"))
 
 
+_NAMES = " ".join(f"WHEN {k} THEN '{v}'" for k, v in LABEL_NAMES.items())
+CLEANED_CTES = DATELINE_CTES.replace(
+    V_ARTICLES,
+    V_ARTICLES.replace("v_articles AS", "raw_articles AS", 1)
+    + f", v_articles AS (SELECT doc_id, CASE labels {_NAMES} END AS labels, title, {SQL_FULL_TRANSFORM} AS description FROM raw_articles)",
+    1,
+)
+
+
 @register(
     "cleaned_cache",
-    f"""WITH {DATELINE_CTES}, {SPLIT_CTE}
+    f"""WITH {CLEANED_CTES}, {SPLIT_CTE}
     SELECT doc_id, split, labels, source, location, title, md5(description) AS text_md5
     FROM moved JOIN splits USING (doc_id)""",
 )
@@ -92,7 +100,7 @@ def cleaned_cache(spark, sf_dir):
     base = work_path(spark, "news")
 
     def build():
-        return selection.stratified_split(dateline_columns(articles(spark, sf_dir)))
+        return selection.stratified_split(labelled.clean_articles(articles(spark, sf_dir)))
 
     labelled.cleaned_cache(spark, base, build)  # writes
     df = labelled.cleaned_cache(spark, base, build)  # reads

@@ -8,6 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from doctopics.constants import LABEL_NAMES
+from doctopics.functions.dateline import dateline_columns
+from doctopics.functions.text import full_text_transform
+from doctopics.sources.selection import label_lookup
+
 CSV_OPTIONS = {
     "header": True,
     "escape": '"',
@@ -99,6 +104,15 @@ def cleaned_cache(
     return spark.read.parquet(path)
 
 
+def clean_articles(df: DataFrame, names: dict[int, str] = LABEL_NAMES) -> DataFrame:
+    """The full cleaning run: class names, text transform, source, title, location, country.
+
+    ``df``: labels, title, description and more columns. A label without a name becomes null.
+    """
+    named = df.withColumn("labels", label_lookup(F.col("labels"), names))
+    return dateline_columns(full_text_transform(named, ["description"]))
+
+
 def with_doc_id(df: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Number rows in file order; write the result before using it twice."""
     return df.withColumn(id_col, F.monotonically_increasing_id())
