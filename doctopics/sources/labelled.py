@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from doctopics.constants import LABEL_NAMES
 from doctopics.functions.dateline import dateline_columns
 from doctopics.functions.text import full_text_transform
+from doctopics.sources.quoted import read_quoted_csv
 from doctopics.sources.selection import label_lookup
 
 CSV_OPTIONS = {
@@ -36,18 +37,13 @@ def read_csv(
     encoding: str = "ISO-8859-1",
     multi_line: bool = True,
 ) -> DataFrame:
-    """CSV with an explicit schema (no inference pass).
+    """CSV with an explicit schema (no inference pass), a large file in many tasks.
 
-    ``multi_line`` allows line breaks inside quotes but makes a file one task, so a large collection
-    should come as many files; set it to False for single-line records to split within files.
+    ``multi_line`` allows line breaks inside quotes (``quoted``); without them Spark's own reader splits within files.
     """
-    return (
-        spark.read.schema(schema)
-        .options(**CSV_OPTIONS)
-        .option("encoding", encoding)
-        .option("multiLine", multi_line)
-        .csv(path)
-    )
+    if multi_line:
+        return read_quoted_csv(spark, path, schema, encoding)
+    return spark.read.schema(schema).options(**CSV_OPTIONS).option("encoding", encoding).csv(path)
 
 
 def write_csv(df: DataFrame, path: str, encoding: str = "UTF-8") -> None:
