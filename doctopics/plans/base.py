@@ -139,6 +139,34 @@ def tfidf_cte(n_docs: str = "(SELECT count(*) FROM documents)", source: str = "w
     cells AS (SELECT doc_id, term_id, term, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS weight FROM raw)"""
 
 
+def merge_cte(target: int) -> str:
+    """grouped (topic, reduced_topic): the smallest topic merged into its most similar one until ``target`` are left.
+
+    Over ``gsize (topic, size)`` and ``gcell (i, j, x)``, the inner products of the topic vectors. A step of the recursion is one
+    merge; the groups are a list of weight, coefficients over the topics and members. Ties go to the lower position.
+    """
+    return f"""numbered AS (SELECT topic, size, row_number() OVER (ORDER BY topic) AS p FROM gsize),
+    gram AS (SELECT list(line ORDER BY p) AS m FROM (SELECT a.p, list(x ORDER BY b.p) AS line
+        FROM gcell JOIN numbered a ON a.topic = i JOIN numbered b ON b.topic = j GROUP BY a.p)),
+    merges AS (
+      SELECT list({{'w': CAST(size AS DOUBLE), 'm': [topic],
+          'c': list_transform(range(1, (SELECT count(*) FROM numbered) + 1), lambda q: CASE WHEN q = p THEN 1 / sqrt(m[p][p]) ELSE 0.0 END)}} ORDER BY p) AS g
+      FROM numbered, gram
+      UNION ALL
+      SELECT list_filter(list_transform(g, lambda x, i: CASE WHEN i = s THEN NULL WHEN i = near THEN
+            {{'w': x.w + g[s].w, 'm': list_concat(x.m, g[s].m), 'c': list_transform(mc, lambda y: y / len)}} ELSE x END), lambda x: x IS NOT NULL)
+      FROM (SELECT *, sqrt(list_dot_product(mc, list_transform(m, lambda line: list_dot_product(line, mc)))) AS len
+        FROM (SELECT *, list_transform(range(1, len(m) + 1), lambda q: g[near].w * g[near].c[q] + g[s].w * g[s].c[q]) AS mc
+          FROM (SELECT *, list_position(sims, list_max(sims)) AS near
+            FROM (SELECT *, list_transform(g, lambda x, i: CASE WHEN i = s THEN -1e300 ELSE list_dot_product(x.c, v) END) AS sims
+              FROM (SELECT *, list_transform(m, lambda line: list_dot_product(line, g[s].c)) AS v
+                FROM (SELECT g, m, list_position(list_transform(g, lambda x: x.w), list_min(list_transform(g, lambda x: x.w))) AS s
+                  FROM merges, gram WHERE len(g) > {target}))))))),
+    last AS (SELECT g FROM merges ORDER BY len(g) LIMIT 1),
+    ranked AS (SELECT x, row_number() OVER (ORDER BY x.w DESC, x.m[1]) - 1 AS reduced FROM (SELECT unnest(g) AS x FROM last)),
+    grouped AS (SELECT unnest(x.m) AS topic, CAST(reduced AS INT) AS reduced_topic FROM ranked)"""
+
+
 def r6(column, name: str):
     """Rounded double without negative zero, for comparisons across engines."""
     c = F.col(column) if isinstance(column, str) else column

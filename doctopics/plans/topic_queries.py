@@ -12,6 +12,7 @@ from doctopics.plans.base import (
     WORDS_CTE,
     assignments,
     documents,
+    merge_cte,
     r6,
     register,
     tokens,
@@ -68,7 +69,17 @@ def _by_source(spark, sf_dir):
     return tokens(spark, sf_dir).join(docs, "doc_id")
 
 
-@register("reduce_topics")
+@register(
+    "reduce_topics",
+    f"""WITH RECURSIVE {WORDS_CTE}, sourced AS (SELECT doc_id, {SOURCE_ID} AS topic FROM documents),
+    counts AS (SELECT topic, term, count(*) AS n FROM words JOIN sourced USING (doc_id) GROUP BY ALL),
+    sizes AS (SELECT topic, sum(n) AS size FROM counts GROUP BY topic),
+    ctf AS (SELECT topic, term, n / CAST(size AS DOUBLE) *
+        ln(1 + floor((SELECT avg(size) FROM sizes)) / sum(n) OVER (PARTITION BY term)) AS weight FROM counts JOIN sizes USING (topic)),
+    gsize AS (SELECT topic, count(*) AS size FROM sourced GROUP BY topic),
+    gcell AS (SELECT a.topic AS i, b.topic AS j, sum(a.weight * b.weight) AS x FROM ctf a JOIN ctf b USING (term) GROUP BY ALL),
+    {merge_cte(5)} SELECT topic, reduced_topic FROM grouped""",
+)
 def reduce_topics(spark, sf_dir):
     df = _by_source(spark, sf_dir)
     return describe.reduce_topics(describe.class_tfidf(df), describe.topic_info(df), 5)

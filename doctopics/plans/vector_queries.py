@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from doctopics.operators import density, encoders
 from doctopics.operators import embeddings as emb
-from doctopics.plans.base import r6, register, table, tokens
+from doctopics.plans.base import merge_cte, r6, register, table, tokens
 from doctopics.plans.cleaning_queries import WORD_LISTS_CTE
 from doctopics.runtime import materialise
 
@@ -91,7 +91,12 @@ def topic_nearest_words(spark, sf_dir):
     return emb.topic_nearest_words(words, emb.topic_centroids(df)).select("topic", "rank", "term", r6("score", "score"))
 
 
-@register("hierarchical_reduction")
+@register(
+    "hierarchical_reduction",
+    f"""WITH RECURSIVE {CENT}, gsize AS (SELECT label AS topic, count(*) AS size FROM embeddings GROUP BY label),
+    gcell AS (SELECT a.topic AS i, b.topic AS j, list_dot_product(a.vec, b.vec) AS x FROM cent a CROSS JOIN cent b),
+    {merge_cte(4)} SELECT CAST(topic AS INT) AS orig_topic, reduced_topic FROM grouped""",
+)
 def hierarchical_reduction(spark, sf_dir):
     return emb.hierarchical_reduction(emb.topic_centroids(vectors(spark, sf_dir)), 4)
 
