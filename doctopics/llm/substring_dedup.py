@@ -1,12 +1,13 @@
 """Substring deduplication by level-wise doubling.
 
-A passage of ``min_words`` words repeats only if its halves do. Level 1 therefore looks at windows of half that length
-(rounded up), and of those only at the ones a document must agree on: of the half windows inside each full window the one
-with the smallest hash. Equal full windows choose equal halves, so no repeat is lost, and a quarter of the half windows
-stands for all of them. Half windows that occur in one document alone die here; the survivors are extended to twice
-their length (capped at ``min_words``), and only full windows that hold a survivor are compared at level 2.
-
-Both levels find repeats by a map-side combined count per hash and hand the answer back through a join that adaptive
+A passage of ``min_words`` words repeats only if every window inside it does. Level 1 looks at short windows (``FIRST`` words,
+or half of ``min_words``, rounded up, if that is less), and of those only at the ones a document must agree on: of the short
+windows inside each full window the one with the smallest hash. Equal full windows choose equal short ones, so no repeat is
+lost, and a part of the short windows stands for all of them. Those that occur in one document alone die here. Each next
+level extends the survivors to twice the length: only full windows that hold a survivor choose again among their windows of
+that length. It goes on until ``min_words`` is reached or no candidate survives; 13 words take one doubling, 50 take three.
+
+All levels find repeats by a map-side combined count per hash and hand the answer back through a join that adaptive
 execution can split, so a passage in a third of all documents makes no hot task. A document's own windows are the only
 thing that is ever gathered in one place.
 
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,7 @@ from doctopics.llm.base import materialise, pack_rest, unpack_rest
 from doctopics.llm.text import covered, flat, owners, pieces, signed, span_hashes, window_hashes, word_spans
 
 MIN_WORDS = 13
+FIRST = 7
 
 
 def _words(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -38,14 +41,21 @@ def _words(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return span_hashes(data, starts, ends), word_offs
 
 
-def _choose(words: np.ndarray, offs: np.ndarray, min_words: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each full window the smallest hash among its half windows; which windows lie within their text."""
-    half = (min_words + 1) // 2
-    hashes, inside = window_hashes(words, offs, half)
+def level_lengths(min_words: int) -> list[int]:
+    """Window lengths of the levels before the last one."""
+    out = [min(FIRST, (min_words + 1) // 2)]
+    while 2 * out[-1] < min_words:
+        out.append(2 * out[-1])
+    return out
+
+
+def _choose(words: np.ndarray, offs: np.ndarray, min_words: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each full window the smallest hash among its windows of ``length``; which full windows lie within their text."""
+    hashes, inside = window_hashes(words, offs, length)
     hashes = np.where(inside, hashes, np.uint64(0xFFFFFFFFFFFFFFFF))
     n, run = len(hashes), 1
     best = hashes
-    spans = min_words - half + 1
+    spans = min_words - length + 1
     while run * 2 <= spans:  # sliding minimum by doubling
         best = np.minimum(best, np.concatenate([best[run:], best[-1:].repeat(min(run, n))])[:n])
         run *= 2
@@ -65,16 +75,16 @@ def _per_document(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.
     return owner[new], value[new]
 
 
-def _halves(min_words: int):
+def _first(min_words: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
             words, offs = _words(part.column("text"))
             if not len(words):
                 continue
-            best, whole = _choose(words, offs, min_words)
+            best, whole = _choose(words, offs, min_words, length)
             owner = owners(offs)[whole]
             best = best[whole]
-            new = np.ones(len(best), bool)  # neighbours mostly choose the same half
+            new = np.ones(len(best), bool)  # neighbours mostly choose the same one
             new[1:] = (best[1:] != best[:-1]) | (owner[1:] != owner[:-1])
             owner, best = _per_document(owner[new], best[new])
             yield pa.record_batch([pa.array(signed(best)), part.column("doc_id").take(pa.array(owner))], names=["h", "doc_id"])
@@ -97,16 +107,16 @@ def _texts(part: pa.RecordBatch) -> list[bytes]:
     return [b"" if z is None else open_.decompress(z) for z in part.column("ztext").to_pylist()]
 
 
-def _full(min_words: int):
-    """Full windows that hold a surviving half."""
+def _next(min_words: int, length: int, longer: int):
+    """Windows of the next length, chosen by the full windows that hold a survivor of the last one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches, "ztext", 1 << 19):
             words, offs = _words(pa.array(_texts(part), pa.binary()))
             if not len(words):
                 continue
-            best, whole = _choose(words, offs, min_words)
-            hashes, _ = window_hashes(words, offs, min_words)
+            best, whole = _choose(words, offs, min_words, length)
+            hashes, _ = _choose(words, offs, min_words, longer)
             owner = owners(offs)
             alive = np.zeros(len(words), bool)
             for i, seeds in enumerate(part.column("seeds")):
@@ -171,24 +181,29 @@ def dedup_substrings(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """
     if min_words < 2:
         raise ValueError("min_words must be at least 2")
-    halves = (
+    length, *longer = level_lengths(min_words)
+    found = (
         docs.select("doc_id", "text")
         .filter("doc_id IS NOT NULL AND text IS NOT NULL")
-        .mapInArrow(_halves(min_words), "h long, doc_id long")
+        .mapInArrow(_first(min_words, length), "h long, doc_id long")
     )
-    seeds = _repeated(halves, "h", False).groupBy("doc_id").agg(F.collect_list("h").alias("seeds"))
     packed = pack_rest(docs.withColumn("doc_id", F.col("doc_id").cast("long")), "doc_id", "text")
     carried = [StructField("doc_id", LongType()), StructField("ztext", BinaryType()), packed.schema["_rest"]]
-    texts = packed.mapInArrow(_pack_text, StructType(carried))
-    marked = materialise(texts.join(seeds, "doc_id", "left"), "substring-level1")
-    alive = marked.filter("seeds IS NOT NULL")
-    windows = alive.select("doc_id", "ztext", "seeds").mapInArrow(_full(min_words), "w long, doc_id long")
-    repeats = _repeated(windows, "w", True).groupBy("doc_id").agg(F.collect_list("w").alias("repeats"))
-    # documents without a surviving half go straight through; only the others are joined again
+    alive = packed.mapInArrow(_pack_text, StructType(carried))
+    passed = []  # documents without a survivor go straight through; only the others are joined again
+    for level, following in enumerate([*longer, min_words]):
+        seeds = _repeated(found, "h", False).groupBy("doc_id").agg(F.collect_list("h").alias("seeds"))
+        marked = materialise(alive.select("doc_id", "ztext", "_rest").join(seeds, "doc_id", "left"), f"substring-level{level + 1}")
+        passed.append(marked.filter("seeds IS NULL").select("doc_id", "ztext", "_rest"))
+        alive = marked.filter("seeds IS NOT NULL")
+        found = alive.select("doc_id", "ztext", "seeds").mapInArrow(_next(min_words, length, following), "h long, doc_id long")
+        length = following
+        if following < min_words and not alive.limit(1).count():
+            break
+    repeats = _repeated(found, "h", True).groupBy("doc_id").agg(F.collect_list("h").alias("repeats"))
     judged = alive.select("doc_id", "ztext", "_rest").join(repeats, "doc_id", "left")
-    rest = marked.filter("seeds IS NULL").select(
-        "doc_id", "ztext", "_rest", F.lit(None).cast(ArrayType(LongType())).alias("repeats")
-    )
+    nothing = F.lit(None).cast(ArrayType(LongType())).alias("repeats")
+    rest = reduce(DataFrame.unionByName, passed).select("doc_id", "ztext", "_rest", nothing)
     schema = StructType(
         [
             StructField("doc_id", LongType()),

@@ -8,7 +8,7 @@ import random
 import pytest
 
 from doctopics.llm.q_text import op8_substring_dedup
-from doctopics.llm.substring_dedup import dedup_substrings
+from doctopics.llm.substring_dedup import dedup_substrings, level_lengths
 
 
 def brute(rows, size=13):
@@ -46,7 +46,7 @@ def test_query_matches_brute_force(spark, sf_dir):
     assert key(result(op8_substring_dedup(spark, sf_dir))) == key(want)
 
 
-@pytest.mark.parametrize("size", [2, 3, 13])
+@pytest.mark.parametrize("size", [2, 3, 13, 20, 29])
 def test_edges_match_brute_force(docs_of, size):
     rng = random.Random(size)
     words = [f"w{k}" for k in range(12)]
@@ -80,3 +80,15 @@ def test_passage_in_many_documents(docs_of):
     rows = [(k, f"a{k} b{k} {passage} z{k}") for k in range(400)]
     got = result(dedup_substrings(docs_of(rows)))
     assert sum(r[2] for r in got) == 399 * 50
+
+
+def test_levels_double_until_nothing_survives(docs_of):
+    """50 words take four lengths; passages of 49 words survive three of them and are kept."""
+    assert [level_lengths(n) for n in (2, 3, 13, 14, 15, 50)] == [[1], [2], [7], [7], [7, 14], [7, 14, 28]]
+    long, short = (" ".join(f"{c}{k}" for k in range(n)) for c, n in (("l", 60), ("s", 49)))
+    rows = [(k, f"a{k} {long} b{k}") for k in range(3)] + [(10 + k, f"c{k} {short} d{k}") for k in range(3)] + [(20, "x " * 80), (21, short[:80])]
+    got = result(dedup_substrings(docs_of(rows), 50))
+    assert key(got) == key(brute(rows, 50)) and sum(r[2] for r in got) == 120
+    assert key(result(dedup_substrings(docs_of(rows[3:]), 50))) == key(brute(rows[3:], 50))
+    alone = [(k, " ".join(f"u{k}x{j}" for j in range(70))) for k in range(4)]
+    assert sum(r[2] for r in result(dedup_substrings(docs_of(alone), 50))) == 0
