@@ -225,8 +225,15 @@ def _sums(state: DataFrame, pairs: list[tuple[str, str]]) -> np.ndarray:
     return np.array([row[i] or 0.0 for i in range(len(pairs))])
 
 
-def _products(state: DataFrame, left: list[str], right: list[str]) -> np.ndarray:
-    return _sums(state, [(a, b) for a in left for b in right]).reshape(len(left), len(right))
+def _upper(left: list[str], right: list[str]) -> list[tuple[str, str]]:
+    return [(left[i], right[j]) for i in range(len(left)) for j in range(i, len(right))]
+
+
+def _symmetric(sums: np.ndarray, width: int) -> np.ndarray:
+    """Matrix whose upper triangle is given row by row."""
+    out = np.zeros((width, width))
+    out[np.triu_indices(width)] = sums
+    return out + np.triu(out, 1).T
 
 
 def _mix(columns: list[str], weights: np.ndarray) -> Column:
@@ -251,7 +258,7 @@ def _step(edges: DataFrame, state: DataFrame, x: list[str], y: list[str], scale:
 
 
 def spectral_coordinates(
-    edges: DataFrame, k: int = 5, extra: int = 4, degree: int = 8, max_rounds: int = 12, tol: float = 1e-3, seed: int = 42
+    edges: DataFrame, k: int = 5, extra: int = 4, degree: int = 8, max_rounds: int = 12, tol: float = 1e-2, seed: int = 42
 ) -> Spectrum:
     """Leading eigenvectors of the symmetrically normalised graph ``(a, b, w)`` (both directions of every edge), without the
     constant one, divided by the root of the degree and scaled to mean square one over the degrees.
@@ -284,8 +291,9 @@ def spectral_coordinates(
     state = materialise(degrees.select("id", "splits", root.alias("u"), *[noise(i).alias(c) for i, c in enumerate(names)]), "spectrum")
     for round_no in range(max_rounds):
         # orthonormal and orthogonal to the constant one
-        gram = _products(state, ["u", *names], names)
-        along, inner = gram[0], gram[1:] - np.outer(gram[0], gram[0])
+        sums = _sums(state, [("u", c) for c in names] + _upper(names, names))
+        along = sums[: len(names)]
+        inner = _symmetric(sums[len(names) :], len(names)) - np.outer(along, along)
         sizes, vectors = np.linalg.eigh(inner)
         kept = sizes > 1e-13 * max(sizes.max(), 1e-300)
         basis = vectors[:, kept] / np.sqrt(sizes[kept])
@@ -295,9 +303,10 @@ def spectral_coordinates(
         old = [c for c in state.columns if c.startswith("x")]
         state = state.select("id", "splits", "u", *[_mix(["u", *old], mixed[:, i]).alias(c) for i, c in enumerate(names)])
         state = _step(normal, state, names, images, 1.0, 0.0, None)
-        ritz = _products(state, names, images)
-        lengths = _products(state, images, images)
-        values, turn = np.linalg.eigh((ritz + ritz.T) / 2)
+        # the graph is symmetric, so both matrices are
+        sums = _sums(state, _upper(names, images) + _upper(images, images))
+        ritz, lengths = (_symmetric(part, len(names)) for part in np.split(sums, 2))
+        values, turn = np.linalg.eigh(ritz)
         values, turn = values[::-1], turn[:, ::-1]
         residuals = np.sqrt(np.maximum(np.einsum("ij,ik,kj->j", turn, lengths, turn) - values**2, 0))
         wanted = min(k, len(names))
@@ -320,14 +329,21 @@ def spectral_coordinates(
 
 
 def reduce_neighbours(
-    df: DataFrame, vector_col: str = "embedding", out_col: str = "reduced", k: int = 5, cosine: bool = True, neighbours: int = NEIGHBOURS, **options
+    df: DataFrame,
+    vector_col: str = "embedding",
+    out_col: str = "reduced",
+    k: int = 5,
+    cosine: bool = True,
+    neighbours: int = NEIGHBOURS,
+    tol: float = 1e-2,
+    **options,
 ) -> DataFrame:
     """Rows with ``k`` coordinates in which neighbours by cosine (or distance) stay neighbours; equal vectors get equal ones.
 
-    Rows whose vector has no direction get zeros. ``options`` are those of ``neighbour_graph``.
+    Rows whose vector has no direction get zeros. ``tol`` is that of ``spectral_coordinates``, ``options`` are those of ``neighbour_graph``.
     """
     graph = neighbour_graph(df, vector_col, neighbours, cosine, **options)
-    found = spectral_coordinates(weighted_edges(graph.lists), k).coordinates
+    found = spectral_coordinates(weighted_edges(graph.lists), k, tol=tol).coordinates
     placed = materialise(graph.points.join(found, "id").select(F.col("v").alias("_v"), "n", F.col("reduced").alias("_r")), "placed")
     total = placed.agg(F.sum("n")).first()[0] or 0
     keyed = df.withColumn("_v", _prepared(vector_col, cosine))

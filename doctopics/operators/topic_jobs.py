@@ -65,13 +65,15 @@ def top2vec_job(
     min_cluster_size: int = 10,
     min_samples: int = 5,
     n_words: int = 10,
+    reducer: Callable[..., DataFrame] = emb.reduce_dims,
 ) -> TopicJob:
     """Density clusters of the training vectors give topic vectors; documents and words join their nearest topic.
 
-    ``df``: doc_id, split, label0, embedding; ``words``: term, vector in the same space.
+    ``df``: doc_id, split, label0, embedding; ``words``: term, vector in the same space. ``reducer`` makes the vectors that are
+    clustered: main directions, or ``neighbours.reduce_neighbours``.
     """
     train, _ = _splits(df)
-    reduced = emb.reduce_dims(train.select("doc_id", "embedding"), k=dims)
+    reduced = reducer(train.select("doc_id", "embedding"), k=dims)
     clusters = density_cluster(reduced, min_cluster_size=min_cluster_size, min_samples=min_samples)
     centroids = emb.topic_centroids(clusters).persist()
     topics = emb.topic_nearest_words(words, centroids, n_words)

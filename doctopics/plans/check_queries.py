@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from doctopics.operators import density, describe, encoders, factor, lda, supervised, terms, topic_jobs
+from doctopics.operators import density, describe, encoders, factor, lda, neighbours, supervised, terms, topic_jobs
 from doctopics.operators import embeddings as emb
 from doctopics.plans.base import SPLIT_CTE, articles, register, table, tokens
 from doctopics.plans.model_queries import LABEL_ID, encoded, labelled, train_tfidf
@@ -209,6 +209,30 @@ def vector_check(spark, sf_dir):
     )
 
 
+@register(
+    "neighbour_check",
+    """SELECT count(DISTINCT embedding) AS n, least(15, count(DISTINCT embedding) - 1) AS shortest, 15 AS longest, true AS recall_held,
+        true AS eigen_equation_holds, true AS orthogonal_to_constant FROM embeddings""",
+)
+def neighbour_check(spark, sf_dir):
+    """Every different vector has all its neighbours, nine tenths of them the true ones; the coordinates solve the eigen equation."""
+    graph = neighbours.neighbour_graph(table(spark, sf_dir, "embeddings"))
+    edges = materialise(neighbours.weighted_edges(graph.lists), "edges")
+    found = neighbours.spectral_coordinates(edges)
+    degrees = edges.groupBy(F.col("a").alias("id")).agg(F.sum("w").alias("deg"))
+    mass = degrees.agg(F.sum("deg")).first()[0]
+    means = [F.sum(F.col("reduced")[i] * F.col("deg")) / mass for i in range(5)]
+    balance = found.coordinates.join(degrees, "id").agg(F.greatest(*[F.abs(m) for m in means])).first()[0]
+    return graph.lists.agg(
+        F.count("*").alias("n"),
+        F.min(F.size("near")).cast("long").alias("shortest"),
+        F.max(F.size("near")).alias("longest"),
+        F.lit(graph.recall >= 0.9).alias("recall_held"),
+        F.lit(bool(found.residuals.max() <= 0.05)).alias("eigen_equation_holds"),
+        F.lit(balance < 1e-6).alias("orthogonal_to_constant"),
+    )
+
+
 @register("density_check", "SELECT label % 4 AS blob, count(*) AS n, 1 AS topics, 1 AS blobs_in_topic FROM embeddings GROUP BY ALL")
 def density_check(spark, sf_dir):
     """Vectors moved into four dense groups far apart: each group is a topic of its own."""

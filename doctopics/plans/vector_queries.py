@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from doctopics.operators import density, encoders
+from doctopics.operators import density, encoders, neighbours
 from doctopics.operators import embeddings as emb
 from doctopics.plans.base import merge_cte, r6, register, table, tokens
 from doctopics.plans.cleaning_queries import WORD_LISTS_CTE
@@ -196,6 +196,13 @@ def reduce_dims(spark, sf_dir):
     return _reduced(spark, sf_dir).select("vec_id", F.posexplode("reduced").alias("pos", "x"))
 
 
+@register("reduce_dims_neighbours")
+def reduce_dims_neighbours(spark, sf_dir):
+    """Coordinates from the neighbour graph of all vectors, in place of main directions."""
+    out = neighbours.reduce_neighbours(table(spark, sf_dir, "embeddings"))
+    return out.select("vec_id", F.posexplode("reduced").alias("pos", "x"))
+
+
 @register("density_cluster")
 def density_cluster(spark, sf_dir):
     return density.density_cluster(_reduced(spark, sf_dir)).select("vec_id", "label", "topic")

@@ -75,7 +75,7 @@ def test_rings_that_a_projection_mixes(spark):
     x, inner = rings()
     df = frame(spark, x)
     flat = np.array([r["reduced"] for r in emb.reduce_dims(df, k=2, cosine=False).orderBy("doc_id").collect()])
-    bent = np.array([r["reduced"] for r in neighbours.reduce_neighbours(df, k=2, cosine=False, neighbours=8).orderBy("doc_id").collect()])
+    bent = np.array([r["reduced"] for r in neighbours.reduce_neighbours(df, k=2, cosine=False, neighbours=8, tol=1e-3).orderBy("doc_id").collect()])
     assert min(cut_error(flat[:, j], inner) for j in range(2)) > 0.2
     assert min(cut_error(bent[:, j], inner) for j in range(2)) == 0
 
