@@ -33,6 +33,9 @@ from doctopics.llm.text import covered, flat, owners, pieces, signed, span_hashe
 
 MIN_WORDS = 13
 FIRST = 7
+# Bits of a candidate's hash that travel. Two candidates that share them only make a window look alive that the last level,
+# which compares whole hashes, drops; so no result depends on them, and a row of the widest shuffles is shorter.
+SEED_BITS = 40
 
 
 def _words(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,6 +69,11 @@ def _choose(words: np.ndarray, offs: np.ndarray, min_words: int, length: int) ->
     return best, at + min_words <= np.repeat(offs[1:], np.diff(offs))
 
 
+def _seed(hashes: np.ndarray) -> np.ndarray:
+    """What stands for a hash on the levels before the last."""
+    return hashes & np.uint64((1 << SEED_BITS) - 1)
+
+
 def _per_document(owner: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (document, value) pairs."""
     order = np.lexsort((value, owner))
@@ -86,7 +94,7 @@ def _first(min_words: int, length: int):
             best = best[whole]
             new = np.ones(len(best), bool)  # neighbours mostly choose the same one
             new[1:] = (best[1:] != best[:-1]) | (owner[1:] != owner[:-1])
-            owner, best = _per_document(owner[new], best[new])
+            owner, best = _per_document(owner[new], _seed(best[new]))
             yield pa.record_batch([pa.array(signed(best)), part.column("doc_id").take(pa.array(owner))], names=["h", "doc_id"])
 
     return run
@@ -94,7 +102,7 @@ def _first(min_words: int, length: int):
 
 def _pack_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts travel compressed."""
-    press = zstandard.ZstdCompressor(level=1)
+    press = zstandard.ZstdCompressor(level=3)
     for part in pieces(batches):
         packed = [None if t is None else press.compress(t.encode()) for t in part.column("text").to_pylist()]
         yield pa.record_batch(
@@ -117,6 +125,7 @@ def _next(min_words: int, length: int, longer: int):
                 continue
             best, whole = _choose(words, offs, min_words, length)
             hashes, _ = _choose(words, offs, min_words, longer)
+            best, hashes = _seed(best), hashes if longer == min_words else _seed(hashes)
             owner = owners(offs)
             alive = np.zeros(len(words), bool)
             for i, seeds in enumerate(part.column("seeds")):

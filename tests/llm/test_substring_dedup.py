@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+
 import hashlib
 import random
 
 import pytest
 
+from doctopics.llm import substring_dedup as sd
 from doctopics.llm.q_text import op8_substring_dedup
 from doctopics.llm.substring_dedup import dedup_substrings, level_lengths
 
@@ -92,3 +95,17 @@ def test_levels_double_until_nothing_survives(docs_of):
     assert key(result(dedup_substrings(docs_of(rows[3:]), 50))) == key(brute(rows[3:], 50))
     alone = [(k, " ".join(f"u{k}x{j}" for j in range(70))) for k in range(4)]
     assert sum(r[2] for r in result(dedup_substrings(docs_of(alone), 50))) == 0
+
+
+def test_candidates_travel_short():
+    """Hashes of the levels before the last take SEED_BITS; the last level's are whole."""
+    text = " ".join(f"w{i}" for i in range(400))
+    docs = pa.record_batch([pa.array([1], pa.int64()), pa.array([text])], names=["doc_id", "text"])
+    seeds = next(sd._first(13, 7)(iter([docs]))).column("h").to_numpy()
+    assert len(seeds) > 50 and 0 <= seeds.min() and seeds.max() < 1 << sd.SEED_BITS
+    packed = next(sd._pack_text(iter([docs.append_column("_rest", pa.array([0]))])))
+    marked = packed.append_column("seeds", pa.array([seeds.tolist()], pa.list_(pa.int64())))
+    whole = next(sd._next(13, 7, 13)(iter([marked]))).column("w").to_numpy()
+    assert len(whole) == 400 - 13 + 1 and (whole.view("uint64") >= 1 << sd.SEED_BITS).any()
+    short = next(sd._next(50, 7, 14)(iter([marked]))).column("w").to_numpy()
+    assert not len(short) or short.max() < 1 << sd.SEED_BITS
