@@ -177,10 +177,9 @@ _SHIFTED = " UNION ALL ".join(f"SELECT x.term AS a, y.term AS b FROM k x JOIN k
 )
 def pmi_cells(spark, sf_dir):
     """Positive mutual information of the 500 most frequent terms within five words: what the second encoder factorises."""
-    df = tokens(spark, sf_dir).select("tokens").persist()
+    df = materialise(tokens(spark, sf_dir).select("tokens"), "tokens")  # a cached list of words is not compressed
     terms, _ = encoders.bounded_vocabulary(df, "tokens", 2, PMI_TERMS)
     pairs = materialise(encoders.cooccurrences(df, terms, window=PMI_WINDOW), "pairs")
-    df.unpersist()
     names = F.broadcast(spark.createDataFrame(list(enumerate(terms)), "a int, term string"))
     cells = encoders.positive_pmi(pairs).join(pairs, ["a", "b"]).join(names, "a")
     cells = cells.join(names.select(F.col("a").alias("b"), F.col("term").alias("near_term")), "b")

@@ -124,3 +124,13 @@ def test_numbers_of_rows(spark):
     many = spark.range(50).select(F.lit(7).alias("doc_id"), F.array(F.lit("a"), F.lit("q")).alias("tokens"))
     out = map_tokens(many, spark.createDataFrame([("a", "b")], "form string, lemma string"), max_shipped=0)
     assert out.count() == 50 and {tuple(r["tokens"]) for r in out.collect()} == {("b", "q")}
+
+
+def test_pmi_cells_keeps_no_raw_words_in_the_cache(spark, monkeypatch):
+    """The words are read back from a written table, so a task reads their compressed columns."""
+    from doctopics.plans import vector_queries
+
+    written, write = [], vector_queries.materialise
+    monkeypatch.setattr(vector_queries, "materialise", lambda df, name: written.append(name) or write(df, name))
+    assert vector_queries.pmi_cells(spark, "/root/testdata/sf0.001").count() > 0
+    assert written == ["tokens", "pairs"]
