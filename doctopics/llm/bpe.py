@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -72,6 +73,7 @@ class BytePairs:
         entries |= {i: s for s, i in self.specials.items()}
         table = [entries.get(i, b"") for i in range(max(entries, default=-1) + 1)]
         self.table = pa.array([*table, b""], pa.large_binary())  # the last one for ids outside the vocabulary
+        self.numbers = pa.array([str(i) for i in range(len(table))], pa.string())
         self.special = re.compile(b"|".join(re.escape(s) for s in sorted(self.specials, key=len, reverse=True)) or b"(?!)")
         self.kinds = np.full(0x110000, UNKNOWN, np.uint8)
         self.forget()
@@ -172,6 +174,11 @@ class BytePairs:
             kinds = self.kinds[chars]
         return kinds
 
+    def listed(self, ids: pa.Array) -> pa.Array:
+        """Every list of the encoder's ids as decimal numbers joined by commas."""
+        names = pa.ListArray.from_arrays(ids.offsets, self.numbers.take(ids.values))
+        return pc.binary_join(names, ",")
+
     # ------------------------------------------------------------ decoding
 
     def decode(self, ids: pa.Array) -> pa.Array:
@@ -218,21 +225,30 @@ def _mapped(df: DataFrame, apply, made: dict[str, T.DataType], drop: str | None)
 
 
 def encode_documents(
-    docs: DataFrame, tokenizer_path: str, text: str = "text", out: str = "ids", decoded: str | None = None, drop_text: bool = False
+    docs: DataFrame,
+    tokenizer_path: str,
+    text: str = "text",
+    out: str | None = "ids",
+    decoded: str | None = None,
+    drop_text: bool = False,
+    listed: str | None = None,
 ) -> DataFrame:
-    """``docs`` with the ids of ``text`` in ``out`` and, if it is named, the text of those ids in ``decoded``.
+    """``docs`` with the ids of ``text`` in ``out``, if it is named, and likewise the text of those ids in ``decoded`` and the
+    ids as decimal numbers joined by commas in ``listed``.
 
-    The file is read by the driver; workers need no copy.
+    The file is read by the driver; workers need no copy. Where only the joined ids are wanted, ``listed`` without ``out``
+    keeps the executors' JVM from making a string of every id.
     """
     spec = _shared(docs, tokenizer_path)
+    kinds = {out: T.ArrayType(T.IntegerType()), decoded: T.StringType(), listed: T.StringType()}
+    made = {name: kind for name, kind in kinds.items() if name}
 
     def apply(batches):
         own = coder(tokenizer_path, spec)
         for part in pieces(batches, text):
             ids = own.encode(part.column(text))
-            yield part, [ids, own.decode(ids)] if decoded else [ids]
+            yield part, [own.decode(ids) if n == decoded else own.listed(ids) if n == listed else ids for n in made]
 
-    made = {out: T.ArrayType(T.IntegerType())} | ({decoded: T.StringType()} if decoded else {})
     return _mapped(docs, apply, made, text if drop_text else None)
 
 

@@ -91,3 +91,17 @@ def test_query(spark, sf_dir, library):
         ids = library.encode(d["text"] or "", add_special_tokens=False).ids
         expected = (d["doc_id"], len(ids), digest(",".join(map(str, ids))), digest(library.decode(ids, skip_special_tokens=False)))
         assert tuple(rows[d["doc_id"]]) == expected
+
+
+def test_joined_ids(spark, docs_of, library):
+    """The ids as text, with no list of them: the JVM then makes no string of every id."""
+    texts = [*ODD, "two words", "x" * 3000]
+    out = encode_documents(docs_of(list(enumerate(texts))), byte_tokenizer_path(), out=None, listed="listed")
+    assert "ids" not in out.columns
+    for r in out.collect():
+        assert r["listed"] == ",".join(map(str, library.encode(r["text"] or "", add_special_tokens=False).ids))
+
+
+def test_query_moves_no_lists(spark, sf_dir):
+    plan = op11_bpe_round_trip(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "array_join" not in plan
