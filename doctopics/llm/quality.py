@@ -89,20 +89,24 @@ def repeat_words(words: Column, window: int = WINDOW) -> Column:
         some = let(hashes, lambda h: F.when(F.size(F.array_distinct(h)) < F.size(h), repeated(h)).otherwise(0))
         return F.when(F.size(w) > window, some).otherwise(0)
 
-    return let(words, count)
+    # a word is hashed once, not once a window
+    return let(F.transform(words, lambda x: F.xxhash64(x)), count)
 
 
 def dup_lines(text: Column) -> Column:
     lines = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(WORD))
-    return let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))
+    return F.when(text.contains("\n"), let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x)))).otherwise(0)
 
 
-def base_counts(text: Column) -> dict[str, Column]:
-    """``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words`` of one text (null: zeros)."""
-    words = words_of(text)
+def base_counts(text: Column, words: Column | None = None) -> dict[str, Column]:
+    """``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words`` of one text (null: zeros).
+
+    ``words`` are those of the text, where a column holds them already.
+    """
+    words = words_of(text) if words is None else words
     return {
         "n_words": F.size(words).cast("long"),
-        "word_chars": F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long"),
+        "word_chars": F.length(F.array_join(words, "")).cast("long"),
         "n_symbols": F.regexp_count(text, F.lit(SYMBOL)).cast("long"),
         "n_dup_lines": dup_lines(text).cast("long"),
         "n_repeat_words": repeat_words(words).cast("long"),
@@ -234,7 +238,8 @@ def _scored(
     learn_from = docs if learn_from is None else learn_from
     ratios = log_ratios(learn_from, trusted, buckets, max_trusted)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("_row"), text.alias("text"))
-    base = base_counts(F.col("text"))
+    rows = rows.withColumn("_words", words_of(F.col("text")))  # a column of its own, or each count would split the text again
+    base = base_counts(F.col("text"), F.col("_words"))
     counted = rows.select("doc_id", "_row", *[c.alias(n) for n, c in base.items()], gram_hashes(F.col("text")).alias("_g"))
     # a first entry that is no n-gram carries the counts, so that one pass gives both
     none = F.lit(None).cast("long")

@@ -197,3 +197,10 @@ def test_markers_brute_force(spark, docs_of, case):
     got = {r["gram"]: r["x"] for r in markers.collect()}
     assert got.keys() == expected.keys() and all(got[g] == pytest.approx(expected[g]) for g in got)
     assert limit == pytest.approx(expected_limit)
+
+
+def test_a_text_is_split_into_words_once(spark, docs_of):
+    docs = docs_of([(1, "a b c"), (2, None)])
+    plan = quality_rules(docs, docs.select("doc_id"))._jdf.queryExecution().optimizedPlan().toString()
+    words, other = r"regexp_extract_all(text#\d+, \[\^\\x20\\x09-\\x0D\]\+".replace("(", r"\("), "regexp_replace"
+    assert len(re.findall(words, plan)) == 1 and other not in plan
