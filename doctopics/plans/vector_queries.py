@@ -155,7 +155,8 @@ def kmeans_elbow(spark, sf_dir):
 @register("embed_documents")
 def embed_documents(spark, sf_dir):
     docs, _ = emb.embed_word2vec(tokens(spark, sf_dir), size=32)
-    return docs.select("doc_id", F.posexplode("embedding").alias("pos", "x"))
+    # a plain explode filters by the array's size, and would embed every document twice for it
+    return docs.select("doc_id", F.posexplode_outer("embedding").alias("pos", "x"))
 
 
 PMI_TERMS, PMI_WINDOW = 500, 5

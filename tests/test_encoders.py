@@ -134,3 +134,11 @@ def test_pmi_cells_keeps_no_raw_words_in_the_cache(spark, monkeypatch):
     monkeypatch.setattr(vector_queries, "materialise", lambda df, name: written.append(name) or write(df, name))
     assert vector_queries.pmi_cells(spark, "/root/testdata/sf0.001").count() > 0
     assert written == ["tokens", "pairs"]
+
+
+def test_documents_are_embedded_once(spark):
+    from doctopics.plans import vector_queries
+
+    rows = vector_queries.embed_documents(spark, "/root/testdata/sf0.001")
+    assert str(rows._jdf.queryExecution().executedPlan().toString()).count("encode(") == 1
+    assert rows.filter("pos IS NULL OR x IS NULL").count() == 0
