@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import html
+
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -189,3 +192,24 @@ def test_url_unquote_matches_the_standard_library(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     got = {r[0]: r[1] for r in df.select("i", text.url_unquote(F.col("t"))).collect()}
     assert got == {i: None if t is None else unquote(t) for i, t in enumerate(texts)}
+
+
+def test_decoding_holds_few_strings_as_objects():
+    """A batch of long texts is decoded in order, nulls kept, with at most a part of it as Python strings at once."""
+    alive, most = 0, 0
+
+    class Counted(str):
+        def __new__(cls, text):
+            nonlocal alive, most
+            alive, most = alive + 1, max(most, alive + 1)
+            return super().__new__(cls, text)
+
+        def __del__(self):
+            nonlocal alive
+            alive -= 1
+
+    values = [None if i % 5 == 0 else f"{i}&amp;" for i in range(1000)]
+    out = text._decoded(pa.array(values), lambda s: Counted(html.unescape(s)))
+    assert out.to_pylist() == [None if v is None else v.replace("&amp;", "&") for v in values]
+    assert most <= 2 * text.DECODED_ROWS
+    assert text._decoded(pa.array([], pa.string()), str.upper).to_pylist() == []
