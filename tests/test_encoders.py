@@ -92,6 +92,59 @@ def test_cooccurrences(spark):
     assert got == expected
 
 
+@pytest.mark.parametrize("slice_tokens, held", [(3, 4), (1, 1), (7, 10**6)])
+def test_cooccurrences_by_slices(spark, monkeypatch, slice_tokens, held):
+    """However short the slices and however few pairs a task holds, all pairs within a text are counted."""
+    rng = np.random.default_rng(3)
+    tokens = [list(rng.choice(list("abcd"), n)) for n in (0, 1, 2, 9, 30)] + [["a"] * 8]
+    df = spark.createDataFrame([([str(w) for w in t],) for t in tokens], "tokens array<string>").coalesce(1)
+    monkeypatch.setattr(encoders, "SLICE_TOKENS", slice_tokens)
+    monkeypatch.setattr(encoders, "HELD_PAIRS", held)
+    got = {(r["a"], r["b"]): r["n"] for r in encoders.cooccurrences(df, ["a", "b", "c"], window=3).collect()}
+    expected = {}
+    for words in tokens:
+        for i, u in enumerate(words):
+            for j, v in enumerate(words):
+                if i != j and abs(i - j) <= 3 and {u, v} <= set("abc"):
+                    key = ("abc".index(u), "abc".index(v))
+                    expected[key] = expected.get(key, 0) + 1
+    assert got == expected
+
+
+def test_long_rows_of_the_matrix_are_cut(spark, monkeypatch):
+    """A row of the matrix may hold the whole vocabulary; tasks get it in short pieces and add up their products."""
+    written, write = [], encoders.materialise
+    monkeypatch.setattr(encoders, "materialise", lambda df, name: written.append(write(df, name)) or written[-1])
+    monkeypatch.setattr(encoders, "ROW_CELLS", 4)
+    m = np.random.default_rng(6).normal(size=(15, 15))
+    m = m + m.T
+    cells = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(15) for j in range(15)], "a int, b int, x double")
+    values, vectors = encoders.symmetric_directions(cells, 15, 3, rounds=60)
+    assert written[0].agg(F.max(F.size("b"))).first()[0] == 4
+    exact = np.linalg.eigvalsh(m)
+    assert np.allclose(values, exact[np.argsort(-np.abs(exact))][:3], atol=1e-5) and np.allclose(m @ vectors, vectors * values, atol=1e-4)
+
+
+def test_trigrams_of_many_words_at_once():
+    words = ["", "a", "é", "häuser", "日本語", "x😀y", "abc_1", "a" * 40, ""]
+    flat, sizes = encoders.word_buckets(words)
+    each = [encoders.subword_buckets(w) for w in words]
+    assert sizes.tolist() == [len(x) for x in each] and flat.tolist() == sum(each, [])
+
+
+@pytest.mark.parametrize("broadcast", [0, 2, 100])
+def test_word_sums(spark, broadcast):
+    """Sums of word vectors are added up where the words stand; a word's row never meets a document's cells one by one."""
+    from doctopics.plans.check_queries import _word_sums
+
+    docs = [(1, ["a", "b", "a"]), (2, ["c"]), (2, ["a", "d"]), (None, ["b", "b"]), (3, []), (4, None)]
+    df = spark.createDataFrame(docs, "doc_id long, tokens array<string>")
+    vectors = {"a": [1.0, 2.0], "b": [10.0, 20.0], "c": [100.0, 200.0], "d": [0.5, 0.25]}
+    words = spark.createDataFrame([(t, n, vectors[t]) for t, n in zip("abcd", (3, 3, 1, 1))], "term string, n long, v array<double>")
+    got = {r["doc_id"]: (r["v_0"], r["v_1"]) for r in _word_sums(df, words, ["v"], 2, broadcast).collect()}
+    assert got == {1: (12.0, 24.0), 2: (101.5, 202.25), None: (20.0, 40.0)}
+
+
 def test_directions(spark):
     rng = np.random.default_rng(5)
     m = rng.normal(size=(30, 30)) * (rng.random((30, 30)) < 0.3)
